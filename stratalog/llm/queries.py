@@ -8,14 +8,7 @@ from importlib import import_module
 MODULES = {
     "op1_license_scan": "license_scan",
     "op2_exact_topk": "exact_topk",
-    "op3_quality_classifier": "quality_classifier",
-    "op4_lm_scoring": "lm_scoring",
-    "op5_ngram_jaccard_join": "jaccard_join",
-    "op6_bpe_chunks": "bpe_chunks",
-    "op7_suffix_dedup": "suffix_dedup",
-    "op8_token_files": "token_files",
     "op9_source_mix": "source_mix",
-    "op10_closed_syncmers": "syncmers",
 }
 
 
