@@ -1,8 +1,80 @@
-"""The corpus pipeline: quality, near copies, repeated passages, mixing, tokens."""
+"""The corpus pipeline over documents: quality, near copies, repeated passages, mixing, tokens.
 
-STAGES = []
+Each stage is a (name, function) of STAGES; a function takes (spark, docs, sf_dir), where docs has the columns
+doc_id, text, lang, source and n_chars, and returns a DataFrame that is written and read again as the docs of
+the next one. All stages but the last return the columns of documents, and what a stage decides takes effect:
+
+1. quality: documents that the classifier rejects go. The model learns from the labels of the folds that may
+   be learned from, and from the texts of docs.
+2. near_copies: of every group of near copies the document with the smallest doc_id stays. Documents without
+   an id, and documents without words, are no one's copies and stay; of repeated rows of one id one stays.
+3. repeats: bytes that a passage found elsewhere covers go from the texts, n_chars follows, and documents of
+   which no word is left go. A character that loses one of its bytes goes whole.
+4. mix: a document stands as often as the mix takes it (0, 1 or 2 times).
+5. tokens: doc_id, n_tokens and the digests of the ids and of the decoded text.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from stratalog.llm.bpe_chunks import digests
+from stratalog.llm.common import documents, materialize
+from stratalog.llm.jaccard_join import near_copies
+from stratalog.llm.quality_classifier import classify, learned
+from stratalog.llm.source_mix import mix, sized
+from stratalog.llm.suffix_dedup import suffix_dedup
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = learned(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    plain = docs.select(*COLUMNS, F.col("text").alias("kept"))
+    return classify(plain, model).where("predicted = 1").select("doc_id", F.col("kept").alias("text"), "lang", "source", "n_chars")
+
+
+def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    groups = near_copies(docs)
+    first = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("keep")).distinct()
+    named = docs.where("doc_id IS NOT NULL").select(*COLUMNS).join(first, F.col("doc_id") == F.col("keep"), "left_semi")
+    # repeated rows of one id: one stays
+    one = named.groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("r")).select("doc_id", "r.*")
+    return one.unionByName(docs.where("doc_id IS NULL").select(*COLUMNS))
+
+
+def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    rows = materialize(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()))
+    cut = suffix_dedup(rows.select(F.col("row").alias("doc_id"), "text"), with_text=True).where("n_removed > 0").select(F.col("doc_id").alias("row"), "kept")
+    text = F.coalesce("kept", "text")
+    new = rows.join(cut, "row", "left").withColumn("text", text).withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long"))
+    return new.where(F.col("kept").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*COLUMNS)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    rows = materialize(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()))
+    taken = mix(sized(rows.drop("doc_id").withColumnRenamed("row", "doc_id"))).select(F.col("doc_id").alias("row"), "copies").where("copies > 0")
+    again = rows.join(taken, "row").withColumn("copy", F.explode(F.sequence(F.lit(1), "copies")))
+    return again.select(*COLUMNS)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return digests(docs)
+
+
+STAGES = [
+    ("quality", quality),
+    ("near_copies", near_copies_stage),
+    ("repeats", repeats),
+    ("mix", mixed),
+    ("tokens", tokens),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    for _, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -346,7 +346,10 @@ def covered(sorted_: DataFrame) -> DataFrame:
 
 
 def cut(kept: DataFrame) -> DataFrame:
-    """name, n_removed, n_spans, kept (bytes) of texts with spans. kept: name, data, spans array<array<int>>."""
+    """name, n_removed, n_spans, kept_sha256, kept of texts with spans. kept: name, data, spans array<array<int>>.
+
+    The text kept loses the rest of a character that was cut into.
+    """
 
     def one(it: Iterator[pa.RecordBatch]):
         unsqueeze = zstandard.ZstdDecompressor().decompress
@@ -360,17 +363,17 @@ def cut(kept: DataFrame) -> DataFrame:
                     parts.append(data[at:a])
                     at = b + 1
                 left = b"".join([*parts, data[at:]])
-                rows.append((name, len(data) - len(left), len(spans), hashlib.sha256(left).hexdigest(), left))
+                rows.append((name, len(data) - len(left), len(spans), hashlib.sha256(left).hexdigest(), left.decode("utf-8", "ignore")))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()))], names=["name", "n_removed", "n_spans", "kept_sha256", "kept"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()))], names=["name", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    return map_arrow(kept, one, "name long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return map_arrow(kept, one, "name long, n_removed long, n_spans long, kept_sha256 string, kept string")
 
 
 def suffix_dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document; with_text: also name and kept.
 
-    kept (binary) is null where nothing is removed. docs: doc_id, text.
+    kept (the text that is left) is null where nothing is removed. docs: doc_id, text.
     """
     session_of(docs)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -394,7 +397,7 @@ def suffix_dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
         F.when(whole, F.lit(NOTHING)).otherwise(F.coalesce("kept_sha256", "sha256")).alias("kept_sha256"),
     ]
     if with_text:
-        columns += [F.col("name"), F.when(whole, F.lit(b"")).otherwise(F.col("kept")).alias("kept")]
+        columns += [F.col("name"), F.when(whole, F.lit("")).otherwise(F.col("kept")).alias("kept")]
     return all_.select(*columns)
 
 
