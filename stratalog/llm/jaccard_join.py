@@ -4,11 +4,12 @@ d(A, B) = 1 - |A & B| / |A | B| is a metric; documents link when d <= EPS. The s
 again and again, and every division keeps each linked pair together somewhere:
 
 1. Pivots that are single n-grams. A set is at distance 1 - 1/|A| from its own n-grams and 1 from all
-   others, so its Voronoi cells tie, and one fixed order of n-grams (rare ones first) decides. The n-gram at
-   which two linked sets first meet in that order lies within the first |A| - ceil(0.8 |A|) + 1 of either, as
-   the n-grams passed by are at most their symmetric difference: that window of cells is where a set is
-   replicated to. Cells that hold two different sets tie their members together; what hangs together is
-   a region, and no link leaves a region.
+   others, so its Voronoi cells tie, and the order of hashes decides. The k-th n-gram that two linked sets have in
+   common lies within the first |A| - ceil(0.8 |A|) + k of either, as the n-grams passed by are part of their
+   symmetric difference: that window of cells is where a set is replicated to, k being a part of the set. So two
+   linked sets meet in k cells at least: a set that meets others in fewer has no link, and the k - 1 most
+   crowded cells of a set can be left out, as the least crowded cell of a linked pair is never among
+   them. What hangs together by the cells that stay is a region, and no link leaves a region.
 2. Pivots that are sets. A region of more than CAPACITY documents is split over tasks: each set goes to its nearest of
    PIVOTS pivots (or, if all are farther than FAR, to the rest), and is replicated to every other cell j where a
    partner may live: d(x, p_j) <= FAR + EPS, and d(x, p_j) <= d(x, p_home) + 2 EPS. Both follow from the triangle
@@ -36,7 +37,8 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import documents, map_arrow, materialize, session_of, texts
@@ -48,8 +50,8 @@ NEAR = 80
 EPS = 1 - NEAR / 100
 FAR = 0.6
 PIVOTS, CAPACITY, WORK = 24, 8192, 100_000_000
-#: Part of the documents whose n-grams tell which are common, and how many common ones are told to all tasks.
-SAMPLED, COMMON = 32, 65_536
+#: A window holds a SPARE-th of its set more n-grams than one meeting needs.
+SPARE = 10
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
@@ -85,46 +87,18 @@ def set_name(grams: np.ndarray) -> int:
     return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(grams.tobytes()))))
 
 
-def window(size: int, near: int = NEAR) -> int:
-    """How many n-grams of a set, in the common order, a linked set may meet first at."""
-    return size - -(-near * size // 100) + 1
-
-
-def in_order(grams: np.ndarray, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """Rare n-grams by hash, then common ones by rank."""
-    if not len(common):
-        return grams
-    at = np.minimum(np.searchsorted(common, grams), len(common) - 1)
-    is_common = common[at] == grams
-    if not is_common.any():
-        return grams
-    return np.concatenate([grams[~is_common], grams[is_common][np.argsort(rank[at[is_common]], kind="stable")]])
-
+def least_common(size: int, near: int = NEAR) -> int:
+    """How many n-grams of its window a set shares with any linked set's window (which is at least near % as large)."""
+    return -(-(-(-near * size // 100)) // SPARE)
 
-def common_grams(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The most common n-grams of a part of the documents, ascending by hash, with their ranks (most common last).
-
-    This decides the order of cells only, never a result.
-    """
-
-    def grams(it: Iterator[pa.RecordBatch]):
-        for batch in it:
-            sets = [gram_set(t, n) for t in texts(batch)]
-            if any(map(len, sets)):
-                key, count = np.unique(np.concatenate(sets), return_counts=True)
-                yield pa.RecordBatch.from_pydict({"gram": pa.array(key.view(np.int64)), "n": pa.array(count, pa.int64())})
 
-    part = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLED)) == 0)
-    top = map_arrow(part.select("text"), grams, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where("n > 2").orderBy(F.desc("n"), "gram").limit(COMMON).toPandas()
-    top = top.sort_values(["n", "gram"])
-    key = top["gram"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(key)
-    return key[order], np.arange(len(key))[order]
+def window(size: int, near: int = NEAR) -> int:
+    """The n-grams of a set, first in the common order, among which are size / SPARE that a linked set has there too."""
+    return size - -(-near * size // 100) + -(-size // SPARE)
 
 
 def cells(docs: DataFrame, n: int, near: int) -> DataFrame:
     """doc_id, n_shingles, name of every document, with the cells of its window (once per task for each set)."""
-    common, rank = common_grams(docs, n)
     kind = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("name", pa.int64()), ("cells", pa.list_(pa.int64()))])
 
     def one(it: Iterator[pa.RecordBatch]):
@@ -138,18 +112,25 @@ def cells(docs: DataFrame, n: int, near: int) -> DataFrame:
                 name = set_name(grams) if len(grams) else None
                 sizes.append(len(grams))
                 names.append(name)
-                windows.append(None if name is None or name in seen else in_order(grams, common, rank)[: window(len(grams), near)].view(np.int64))
+                windows.append(None if name is None or name in seen else grams[: window(len(grams), near)].view(np.int64))
                 seen.add(name)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), pa.array(windows, pa.list_(pa.int64()))], schema=kind)
 
     return map_arrow(docs, one, "doc_id long, n_shingles long, name long, cells array<long>")
 
 
-def regions(rows: DataFrame) -> DataFrame:
-    """node (set name) and component of the sets that share cells with other sets."""
+def regions(rows: DataFrame, near: int) -> DataFrame:
+    """node (set name) and component of the sets that share enough cells with other sets."""
     met = rows.where("cells IS NOT NULL").select("name", F.explode("cells").alias("cell"))
-    shared = met.groupBy("cell").agg(F.min("name").alias("first"), F.max("name").alias("last")).where("first <> last").select("cell", "first")
-    return components(met.join(shared, "cell").where("name <> first").select(F.col("name").alias("a"), F.col("first").alias("b")).distinct())
+    shared = met.groupBy("cell").agg(F.min("name").alias("first"), F.max("name").alias("last"), F.count("*").alias("n")).where("first <> last").select("cell", "n")
+    held = met.join(shared, "cell").distinct()
+    size = rows.where("cells IS NOT NULL").groupBy("name").agg(F.max("n_shingles").alias("size"))
+    need = F.ceil(F.ceil(F.col("size") * near / 100) / SPARE)
+    own = Window.partitionBy("name")
+    ranked = held.withColumns({"place": F.row_number().over(own.orderBy(F.desc("n"), "cell")), "all": F.count("*").over(own)}).join(size, "name")
+    kept = materialize(ranked.where((F.col("all") >= need) & (F.col("place") >= need)).select("name", "cell"))
+    first = kept.groupBy("cell").agg(F.min("name").alias("first"))
+    return components(kept.join(first, "cell").where("name <> first").select(F.col("name").alias("a"), F.col("first").alias("b")).distinct())
 
 
 class Sets:
@@ -251,15 +232,39 @@ def join_region(sets: Sets, rows: np.ndarray, forest: Forest, near: int = NEAR,
 
 
 def with_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """name, region and grams (binary) of the wanted sets, once each. wanted: doc_id, name, region."""
+    """name, region and grams (binary) of the wanted sets; repeated rows may give one more than once. wanted: doc_id, name, region.
+
+    Texts are compressed for the join, which halves what it moves.
+    """
+
+    def squeeze(it: Iterator[pa.RecordBatch]):
+        zip_ = zstandard.ZstdCompressor(level=1).compress
+        seen: set = set()
+        for batch in it:
+            if len(seen) > 1_000_000:
+                seen = set()
+            rows = []
+            for doc_id, t in zip(batch.column("doc_id").to_pylist(), texts(batch)):
+                data = t.encode("utf-8", "replace")
+                row = (doc_id, xxhash.xxh3_64_intdigest(data))
+                if row not in seen:  # repeated rows cross once per task
+                    seen.add(row)
+                    rows.append((doc_id, zip_(data)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else ([], []), (pa.int64(), pa.binary()))], names=["id", "data"])
 
     def grams(it: Iterator[pa.RecordBatch]):
+        unzip = zstandard.ZstdDecompressor().decompress
         for batch in it:
-            got = [(name, region, g.tobytes()) for t, name, region in zip(texts(batch), batch.column("name").to_pylist(), batch.column("region").to_pylist()) if set_name(g := gram_set(t, n)) == name]
+            got = []
+            for data, name, region in zip(*(batch.column(c).to_pylist() for c in ("data", "name", "region"))):
+                own = gram_set(unzip(data).decode(), n)
+                if set_name(own) == name:
+                    got.append((name, region, own.tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*got) if got else ([], [], []), (pa.int64(), pa.int64(), pa.binary()))], names=["name", "region", "grams"])
 
-    same = docs.select(F.col("doc_id").alias("id"), "text").join(wanted, F.col("id").eqNullSafe(F.col("doc_id"))).select("text", "name", "region")
-    return map_arrow(same, grams, "name long, region long, grams binary").dropDuplicates(["name"])
+    packed = map_arrow(docs, squeeze, "id long, data binary")
+    same = packed.join(wanted, F.col("id").eqNullSafe(F.col("doc_id"))).select("data", "name", "region")
+    return map_arrow(same, grams, "name long, region long, grams binary")
 
 
 def arrays(grams) -> list[np.ndarray]:
@@ -273,12 +278,13 @@ def split(sets: DataFrame, sizes: DataFrame, near: int, pivots: int) -> DataFram
     order = F.xxhash64("name", F.lit(5))
     cut = F.lit(2.0**64) / F.col("n") * (2 * pivots) - 2.0**63
     near_pivots = big.where(order < cut.cast("long")).groupBy("region", "n").agg(F.slice(F.sort_array(F.collect_list(F.struct(order.alias("o"), "grams"))), 1, pivots).alias("p"))
-    pivot = near_pivots.withColumn("slice", F.explode(F.sequence(F.lit(0), slices - 1))).select("region", "slice", F.col("p.grams").alias("p"))
+    pivot = near_pivots.withColumn("to", F.explode(F.sequence(F.lit(0), slices - 1))).select(F.col("region").alias("of"), "to", F.col("p.grams").alias("p"))
     dealt = big.withColumn("slice", F.pmod(F.xxhash64("name", F.lit(7)), slices).cast("int")).select("name", "region", "slice", "grams")
 
     def deal(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a):
             return pd.DataFrame({"name": [], "region": [], "grams": []})
+        a = a.drop_duplicates("name")
         own, middle = arrays(a["grams"]), arrays(b["p"].iloc[0]) if len(b) else []
         if not middle:
             return a[["name", "region", "grams"]]
@@ -291,13 +297,14 @@ def split(sets: DataFrame, sizes: DataFrame, near: int, pivots: int) -> DataFram
         number = {int(c): xxhash.xxh3_64_intdigest(f"{region}/{c}".encode()) >> 1 for c in np.unique(cell)}
         return pd.DataFrame({"name": a["name"].to_numpy()[row], "region": [number[int(c)] for c in cell], "grams": a["grams"].to_numpy()[row]})
 
-    return dealt.groupBy("region", "slice").cogroup(pivot.groupBy("region", "slice")).applyInPandas(deal, "name long, region long, grams binary")
+    return dealt.groupBy("region", "slice").cogroup(pivot.groupBy("of", "to")).applyInPandas(deal, "name long, region long, grams binary")
 
 
 def links(sets: DataFrame, near: int = NEAR, pivots: int = PIVOTS, capacity: int = CAPACITY, depth: int = 6) -> DataFrame:
     """a, b: links between sets that join all that is linked. sets: name, region, grams."""
 
     def join(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.drop_duplicates("name")
         names = group["name"].to_numpy()
         forest = Forest(len(names))
         if len(names) > 1:
@@ -326,7 +333,7 @@ def near_copies(docs: DataFrame, n: int = N, near: int = NEAR) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = materialize(cells(docs, n, near))
     classes = rows.where("name IS NOT NULL").groupBy("name").agg(F.min("doc_id").alias("least"))
-    together = regions(rows).select(F.col("node").alias("name"), F.col("component").alias("region"))
+    together = regions(rows, near).select(F.col("node").alias("name"), F.col("component").alias("region"))
     wanted = classes.join(together, "name").select(F.col("least").alias("doc_id"), "name", "region")
     sets = materialize(with_sets(docs, wanted, n))
     linked = components(links(sets, near)).select(F.col("node").alias("name"), "component")

@@ -29,6 +29,8 @@ from .common import documents, materialize, session_of
 WORDS = r"[^\x20\x09-\x0D]+"
 WEIGHTS, SHARE, REPEATS, SEED, FILLS = (5, 2, 1), 1.5, 2, 17, 6
 BITS, LEVELS = 12, 3
+#: Rows of a plan (one per pattern, some 200 bytes each) that are told to all tasks.
+TOLD = 10_000
 
 
 def source_order(name):
@@ -125,18 +127,23 @@ def route(sizes: dict[tuple, int], quotas: dict, repeats: int = REPEATS) -> dict
     return given
 
 
+def with_plan(rows: DataFrame, plan: list[tuple], schema: str) -> DataFrame:
+    """rows joined with one row per pattern by key; told to all tasks while it is small, else shuffled."""
+    table = rows.sparkSession.createDataFrame(plan, schema)
+    return rows.join(F.broadcast(table) if len(plan) <= TOLD else table, "key")
+
+
 def thresholds(rows: DataFrame, rest: dict[str, int]) -> dict[str, tuple[int, int]]:
     """Per pattern the bound under which hashes are taken, and the words still open after that.
 
     rows: key, h (0 to 2**63 - 1), size. rest: words to find, under the pattern's size.
     """
-    spark = rows.sparkSession
     at = {k: (0, r) for k, r in rest.items()}  # the bucket's first hash, words open from there
     for level in range(1, LEVELS + 1):
         shift = 63 - BITS * level
-        now = spark.createDataFrame([(k, lo >> (shift + BITS), r) for k, (lo, r) in at.items()], "key string, prefix long, rest long")
         b = F.shiftright("h", shift)
-        inside = rows.join(now, "key").where(F.shiftright("h", shift + BITS) == F.col("prefix")).select("key", "rest", b.alias("b"), "size")
+        now = with_plan(rows, [(k, lo >> (shift + BITS), r) for k, (lo, r) in at.items()], "key string, prefix long, rest long")
+        inside = now.where(F.shiftright("h", shift + BITS) == F.col("prefix")).select("key", "rest", b.alias("b"), "size")
         counts = inside.groupBy("key", "rest", "b").agg(F.sum("size").alias("words"))
         # at most 4096 buckets a key stand in one array
         lists = counts.groupBy("key", "rest").agg(F.sort_array(F.collect_list(F.struct("b", "words"))).alias("all"))
@@ -157,7 +164,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, repeats: int = R
     docs: doc_id, size long, sources array<string>. source_size and target belong to the first source by
     order (its only one, where sources do not overlap). taken = copies * size.
     """
-    spark = session_of(docs)
+    session_of(docs)
     h = F.xxhash64(F.lit(seed), F.col("doc_id")).bitwiseAND((1 << 63) - 1)
     rows = materialize(docs.select("doc_id", F.to_json(F.array_sort(F.array_distinct("sources"))).alias("key"), F.array_sort(F.array_distinct("sources")).alias("pattern"), F.coalesce("size", F.lit(0)).cast("long").alias("size"), h.alias("h")))
     table = rows.groupBy("key", "pattern").agg(F.sum("size").alias("size")).collect()
@@ -179,20 +186,21 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, repeats: int = R
     for _ in range(FILLS):
         if not gap:
             break
-        now = spark.createDataFrame([(k, bound[k][0], g, picks[k]) for k, g in gap.items()], "key string, bound long, gap long, picked array<struct<h:long,size:long>>")
-        free = rows.join(now, "key").where((F.col("size") > 0) & (F.col("size") <= F.col("gap")) & (F.col("h") >= F.col("bound")) & ~F.exists("picked", lambda x: x["h"] == F.col("h")))
+        now = with_plan(rows, [(k, bound[k][0], g, picks[k]) for k, g in gap.items()], "key string, bound long, gap long, picked array<struct<h:long,size:long>>")
+        free = now.where((F.col("size") > 0) & (F.col("size") <= F.col("gap")) & (F.col("h") >= F.col("bound")) & ~F.exists("picked", lambda x: x["h"] == F.col("h")))
         best = {r["key"]: r["b"] for r in free.groupBy("key").agg(F.max(F.struct("size", "h")).alias("b")).collect()}
         for k, b in best.items():
             picks[k].append((b["h"], b["size"]))
             gap[k] -= b["size"]
         gap = {k: g for k, g in gap.items() if k in best and g > 0}
     first = {k: p[0] if p else None for k, p in keys.items()}
-    plan = spark.createDataFrame(
+    all_ = with_plan(
+        rows,
         [(k, sources.get(first[k], 0), float(goal.get(first[k], 0.0)), whole[k], bound.get(k, (0, 0))[0], [x for x, _ in picks[k]]) for k in keys],
         "key string, source_size long, target double, whole int, bound long, picked array<long>",
     )
     copies = F.when(F.col("size") > 0, F.col("whole") + ((F.col("h") < F.col("bound")) | F.array_contains("picked", F.col("h"))).cast("int")).otherwise(0)
-    return rows.join(plan, "key").withColumn("copies", copies).select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return all_.withColumn("copies", copies).select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def sized(docs: DataFrame) -> DataFrame:
