@@ -8,8 +8,9 @@ at the window's first step: truncated backpropagation) and in scoring.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain, islice
 
 import numpy as np
 
@@ -56,9 +57,14 @@ def initial(counts: np.ndarray, outside: float, shape: Shape, hidden: int = HIDD
 
 def step(p: dict, ids: np.ndarray, h: np.ndarray):
     """The next state, and what backpropagation needs. z keeps the old state in part, r gates it."""
-    n = h.shape[1]
     a = p["x"][ids]
     a += p["b"]
+    return after(p, a, h)
+
+
+def after(p: dict, a: np.ndarray, h: np.ndarray):
+    """step() for inputs that are looked up already."""
+    n = h.shape[1]
     gates = 1 / (1 + np.exp(-(a[:, : 2 * n] + h @ p["u"])))
     z, r = gates[:, :n], gates[:, n:]
     rh = r * h
@@ -74,6 +80,16 @@ def softmax_at(x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return x[np.arange(len(x)), at] - np.log(s), e / s[:, None]
 
 
+def slope(x: np.ndarray, at: np.ndarray, scale: np.float32) -> np.ndarray:
+    """The gradient of -log softmax at column at of each row, scaled; x is overwritten."""
+    x -= x.max(1, keepdims=True)
+    np.exp(x, out=x)
+    x /= x.sum(1, keepdims=True)
+    x[np.arange(len(x)), at] -= 1
+    x *= scale
+    return x
+
+
 def by_class(shape: Shape, words: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
     """(first word, end, rows) of each class of more than one word that words belong to."""
     number = shape.word_class[words]
@@ -147,17 +163,18 @@ class Trainer:
         self.sums[key][at] += g * g
         self.p[key][at] -= self.rate * g / np.sqrt(self.sums[key][at])
 
-    def train(self, docs: list[np.ndarray], lanes: int = LANES, steps: int = STEPS) -> None:
-        """One pass over docs. A lane takes the next document when its last one ends."""
-        waiting = [d for d in docs if len(d)]
-        lanes = min(lanes, len(waiting))
+    def train(self, docs: Iterable[np.ndarray], lanes: int = LANES, steps: int = STEPS) -> None:
+        """One pass over docs, which may be a stream. A lane takes the next document when its last one ends."""
+        feed = (d for d in docs if len(d))
+        first = list(islice(feed, lanes))
+        lanes = len(first)
         if not lanes:
             return
         n = self.p["k"].shape[0]
         h = np.zeros((lanes, n), np.float32)
         doc: list = [None] * lanes
         at = [0] * lanes
-        feed = iter(waiting)
+        feed = chain(first, feed)
         while True:
             x = np.full((steps, lanes), self.end, np.int64)
             y = np.full((steps, lanes), -1, np.int64)
@@ -181,48 +198,55 @@ class Trainer:
     def window(self, x: np.ndarray, y: np.ndarray, h: np.ndarray) -> np.ndarray:
         p, shape, n = self.p, self.shape, h.shape[1]
         kept, states = [], []
-        for t in range(len(x)):
-            h, k = step(p, x[t], h)
+        inputs = p["x"][x]
+        inputs += p["b"]
+        for a in inputs:
+            h, k = after(p, a, h)
             kept.append(k)
             states.append(h)
-        flat, words = np.concatenate(states), y.reshape(-1)
+        words = y.reshape(-1)
         rows = np.flatnonzero(words >= 0)
-        flat, words = flat[rows], words[rows]
+        # by class, so that each class is a slice
+        rows = rows[np.argsort(shape.word_class[words[rows]], kind="stable")]
+        flat, words = np.concatenate(states)[rows], words[rows]
         self.words += len(rows)
         number = shape.word_class[words]
         words_of_a_window = STEPS * LANES  # so that a few last long documents move the weights little
         scale = np.float32(1 / np.sqrt(words_of_a_window))
-        _, g = softmax_at(flat @ p["wc"] + p["bc"], number)
-        g[np.arange(len(g)), number] -= 1
-        g *= scale
+        g = slope(flat @ p["wc"] + p["bc"], number, scale)
         dh = g @ p["wc"].T
-        moves = [("wc", flat.T @ g, slice(None)), ("bc", g.sum(0), slice(None))]
-        for a, b, own in by_class(shape, words):
-            _, g = softmax_at(flat[own] @ p["wo"][:, a:b] + p["bo"][a:b], words[own] - 1 - a)
-            g[np.arange(len(g)), words[own] - 1 - a] -= 1
-            g *= scale
-            dh[own] += g @ p["wo"][:, a:b].T
-            moves += [("wo", flat[own].T @ g, (slice(None), slice(a, b))), ("bo", g.sum(0), slice(a, b))]
+        dwc, dbc = flat.T @ g, g.sum(0)
+        dwo, dbo = np.zeros_like(p["wo"]), np.zeros_like(p["bo"])
+        ends = np.searchsorted(number, np.arange(1, len(shape.starts) + 1)).tolist()
+        cuts = shape.starts.tolist()
+        for a, b, s, e in zip(cuts, cuts[1:], ends, ends[1:]):
+            if e > s and b - a > 1:
+                own, w = flat[s:e], p["wo"][:, a:b]
+                g = slope(own @ w + p["bo"][a:b], words[s:e] - 1 - a, scale)
+                dh[s:e] += g @ w.T
+                dwo[:, a:b] = own.T @ g
+                dbo[a:b] = g.sum(0)
         all_ = np.zeros((x.size, n), np.float32)
         all_[rows] = dh
         all_ = all_.reshape(*x.shape, n)
         back = np.zeros_like(all_[0])
-        du, dk = np.zeros_like(p["u"]), np.zeros_like(p["k"])
         da = np.empty((*x.shape, 3 * n), np.float32)
+        ut, kt = np.ascontiguousarray(p["u"].T), np.ascontiguousarray(p["k"].T)
         for t in reversed(range(len(x))):
             before, gates, rh, c = kept[t]
             z, r = gates[:, :n], gates[:, n:]
             d = all_[t] + back
             dc = d * z * (1 - c * c)
-            drh = dc @ p["k"].T
+            drh = dc @ kt
             dg = np.concatenate([d * (c - before), drh * before], 1) * gates * (1 - gates)
-            du += before.T @ dg
-            dk += rh.T @ dc
             da[t, :, : 2 * n], da[t, :, 2 * n :] = dg, dc
-            back = d * (1 - z) + drh * r + dg @ p["u"].T
-        for key, g, where in [*moves, ("u", du, slice(None)), ("k", dk, slice(None))]:
-            self.update(key, g, where)
-        flat_a, ids = da.reshape(-1, 3 * n), x.reshape(-1)
+            back = d * (1 - z) + drh * r + dg @ ut
+        flat_a = da.reshape(-1, 3 * n)
+        du = np.concatenate([k[0] for k in kept]).T @ flat_a[:, : 2 * n]
+        dk = np.concatenate([k[2] for k in kept]).T @ flat_a[:, 2 * n :]
+        for key, g in (("wc", dwc), ("bc", dbc), ("wo", dwo), ("bo", dbo), ("u", du), ("k", dk)):
+            self.update(key, g)
+        ids = x.reshape(-1)
         order = np.argsort(ids, kind="stable")
         first = np.flatnonzero(np.diff(ids[order], prepend=-1))
         self.update("x", np.add.reduceat(flat_a[order], first, axis=0), ids[order][first])

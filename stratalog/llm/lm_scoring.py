@@ -4,9 +4,9 @@ Word counts cover every training document; tasks count their own words first, so
 once per task. The VOCABULARY most frequent words are the model's, the FREQUENT most frequent ones
 are told to all tasks (both bounded); all others are looked up by a join.
 
-Training runs in ROUNDS. In each round every task trains on its own documents of one PARTS-th of the corpus (chosen
-by hash, other documents each round, so training grows with the corpus) from the common weights, and the
-tasks' weights are averaged by the words they saw. Weights have a fixed size whatever the corpus.
+Training is one pass over every training document, in ROUNDS. The corpus has PARTS parts by hash, and every part belongs to
+one round: in it each task trains on its own documents of the round's parts from the common weights, and the tasks'
+weights are averaged by the words they saw. Weights have a fixed size whatever the corpus.
 
 A document's score is the sum over its words, the end included, of log10 p(class | state) plus, for a word of
 the vocabulary, log10 p(word | class, state), and for any other word log10 of its share among the words outside
@@ -96,6 +96,11 @@ def lexicon(counts: DataFrame, v: int, frequent: int) -> Lexicon:
     return Lexicon([w for _, w in pairs], [c for c, _ in pairs], n[0] or 0, n[1], v)
 
 
+def long_first(held: list[np.ndarray]) -> list[np.ndarray]:
+    """Long documents first, the others in their order, so that no lane is left alone with a long one at the end."""
+    return sorted(held, key=lambda d: -(len(d) // 1024))
+
+
 def trained(docs: DataFrame, lex: Lexicon, parts: int, rounds: int) -> dict[str, np.ndarray]:
     """The model's weights after all rounds. docs: doc_id, text, held_out."""
     spark = docs.sparkSession
@@ -107,15 +112,20 @@ def trained(docs: DataFrame, lex: Lexicon, parts: int, rounds: int) -> dict[str,
 
         def train(it: Iterator[pa.RecordBatch]):
             start, words = shared.value
-            trainer, held, size = gru.Trainer(start, words.shape, 1), [], 0
-            for batch in it:
-                for t in texts(batch):
-                    held.append(words.model(words.find(words_of(t))))
-                    size += len(held[-1])
-                    if size >= TRAINED:
-                        trainer.train(held)
-                        held, size = [], 0
-            trainer.train(held)
+            trainer = gru.Trainer(start, words.shape, 1)
+
+            def stream():
+                held, size = [], 0
+                for batch in it:
+                    for t in texts(batch):
+                        held.append(words.model(words.find(words_of(t))))
+                        size += len(held[-1])
+                        if size >= TRAINED:
+                            yield from long_first(held)
+                            held, size = [], 0
+                yield from long_first(held)
+
+            trainer.train(stream())
             if trainer.words:
                 rows = [(name, trainer.words, (trainer.p[name].astype(np.float64) * trainer.words).astype("<f4").tobytes()) for name in names]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.string(), pa.int64(), pa.binary()))], names=["name", "n", "w"])
@@ -124,7 +134,7 @@ def trained(docs: DataFrame, lex: Lexicon, parts: int, rounds: int) -> dict[str,
             total = sum(np.frombuffer(w, "<f4").astype(np.float64) for w in group["w"])
             return pd.DataFrame({"name": [group["name"].iloc[0]], "n": [int(group["n"].sum())], "w": [total.astype("<f4").tobytes()]})
 
-        mine = docs.where(~F.col("held_out") & (part == r)).select("text")
+        mine = docs.where(~F.col("held_out") & (part % rounds == r)).select("text")
         kind = "name string, n long, w binary"
         # sums of a few tasks first, then of those: no task adds more than the square root of all
         some = map_arrow(mine, train, kind).withColumn("few", F.pmod(F.spark_partition_id(), F.lit(32)))

@@ -100,3 +100,15 @@ def test_gradients(monkeypatch):
             down = loss()
             p[key][at] = old
             assert (up - down) / 2e-5 == pytest.approx(g[at], abs=1e-4), key
+
+
+def test_training_covers_every_part(spark):
+    # all training documents lie in the parts 3 to 19, none of them in the first three
+    words = [f"w{i}" for i in range(30)]
+    text = F.concat_ws(" ", *(F.lit(words[(7 * j) % 30]) for j in range(60)))
+    all_ = spark.range(400).select(F.col("id").alias("doc_id"), text.alias("text"))
+    part = F.pmod(F.xxhash64(F.lit(23), "doc_id", F.length("text")), F.lit(L.PARTS))
+    late = all_.where((part >= 3) & (F.col("doc_id") > 0)).withColumn("held_out", F.lit(False))
+    docs = late.unionByName(all_.where("doc_id = 0").withColumn("held_out", F.lit(True))).repartition(2)
+    (unseen,) = L.lm_scores(docs).where("held_out").collect()
+    assert unseen["score"] > unseen["base_score"] + 10
