@@ -13,9 +13,11 @@ again and again, and every division keeps each linked pair together somewhere:
 2. Pivots that are sets. A region of more than CAPACITY documents is split over tasks: each set goes to its nearest of
    PIVOTS pivots (or, if all are farther than FAR, to the rest), and is replicated to every other cell j where a
    partner may live: d(x, p_j) <= FAR + EPS, and d(x, p_j) <= d(x, p_home) + 2 EPS. Both follow from the triangle
-   inequality. Cells are split again until they are small or no longer shrink.
+   inequality. Cells are split again until they are small. A region that pivots do not divide (a sample of its
+   sets tells) stays as it is and is joined over tasks: its sets are dealt to blocks, and every two blocks meet
+   in a task of their own, so no task holds more than about CAPACITY sets.
 3. Within a task a region is joined the same way, recursively, down to cells in which sizes of intersections
-   are counted from postings. Cells that do not shrink are joined block by block.
+   are counted from postings.
 
 Copies (equal sets) are one point of the space and are never compared with each other. A task returns at
 most one link per set that joins two components of its own, which keeps every component and no pairs.
@@ -50,6 +52,8 @@ NEAR = 80
 EPS = 1 - NEAR / 100
 FAR = 0.6
 PIVOTS, CAPACITY, WORK = 24, 8192, 100_000_000
+#: Sets of a region that tell whether a division is worth it.
+TOLD = 256
 #: A window holds a SPARE-th of its set more n-grams than one meeting needs.
 SPARE = 10
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -300,6 +304,58 @@ def split(sets: DataFrame, sizes: DataFrame, near: int, pivots: int) -> DataFram
     return dealt.groupBy("region", "slice").cogroup(pivot.groupBy("of", "to")).applyInPandas(deal, "name long, region long, grams binary")
 
 
+def divided(sets: DataFrame, sizes: DataFrame, near: int, pivots: int) -> DataFrame:
+    """The regions of sizes (region, n) whose cells together have less to compare than the region, judged by a sample."""
+    big = sets.join(sizes, "region")
+    order = F.xxhash64("name", F.lit(5))
+    cut = F.lit(2.0**64) / F.col("n") * (2 * pivots + TOLD) - 2.0**63
+    sample = big.where(order.cast("double") < cut).select("region", "name", order.alias("o"), "grams")
+
+    def judge(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.drop_duplicates("name").sort_values("o")
+        all_ = Sets(arrays(group["grams"]))
+        rows = np.arange(min(pivots, len(group) - 1), len(group))
+        grams, owner = all_.of(rows)
+        distances = np.stack([all_.distance(i, grams, owner, all_.sizes[rows]) for i in range(max(1, rows[0]))], 1)
+        _, cell = voronoi(distances, 1 - near / 100, FAR)
+        share = np.unique(cell, return_counts=True)[1] / len(rows)
+        return group[["region"]].head(1) if (share**2).sum() <= 0.9 else group[["region"]].head(0)
+
+    return sample.groupBy("region").applyInPandas(judge, "region long")
+
+
+def paired(sets: DataFrame, capacity: int) -> DataFrame:
+    """name, region, grams with the regions of more than capacity sets dealt to blocks, a region for every two of them."""
+    n = sets.groupBy("region").agg(F.count("*").alias("n")).where(F.col("n") > capacity)
+    blocks = F.ceil(F.col("n") / max(1, capacity // 3)).cast("int")
+    own = F.pmod(F.xxhash64("name", F.lit(13)), F.col("blocks")).cast("int")
+    dealt = sets.join(n.select("region", blocks.alias("blocks")), "region").withColumn("own", own)
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("own <> other")
+    number = F.xxhash64("region", F.least("own", "other"), F.greatest("own", "other"))
+    return sets.join(n, "region", "left_anti").select("name", "region", "grams").unionByName(met.select("name", number.alias("region"), "grams"))
+
+
+def bounded(sets: DataFrame, near: int, pivots: int, capacity: int, depth: int) -> DataFrame:
+    """sets in regions of about capacity at most, such that all linked sets meet in a region."""
+    stuck: set[int] = set()
+    for _ in range(depth):
+        sizes = sets.groupBy("region").agg(F.count("*").alias("n"))
+        # rows of regions that are too large for a task: few, and only their numbers
+        big = [r for r in sizes.where(F.col("n") > capacity).collect() if r["region"] not in stuck]
+        if not big:
+            break
+        table = lambda rows: sets.sparkSession.createDataFrame([(r["region"], r["n"]) for r in rows], "region long, n long")
+        good = {r["region"] for r in divided(sets, table(big), near, pivots).collect()}
+        stuck |= {r["region"] for r in big} - good
+        if not good:
+            break
+        now = table([r for r in big if r["region"] in good])
+        parts = materialize(split(sets, now, near, pivots))
+        rest = sets.join(now, "region", "left_anti")
+        sets = parts.unionByName(rest.select("name", "region", "grams"))
+    return paired(sets, capacity)
+
+
 def links(sets: DataFrame, near: int = NEAR, pivots: int = PIVOTS, capacity: int = CAPACITY, depth: int = 6) -> DataFrame:
     """a, b: links between sets that join all that is linked. sets: name, region, grams."""
 
@@ -311,20 +367,7 @@ def links(sets: DataFrame, near: int = NEAR, pivots: int = PIVOTS, capacity: int
             join_region(Sets(arrays(group["grams"])), np.arange(len(names)), forest, near, pivots)
         return pd.DataFrame([(names[a], names[b]) for a, b in forest.links], columns=["a", "b"], dtype="int64")
 
-    stuck: set[int] = set()
-    for _ in range(depth):
-        sizes = sets.groupBy("region").agg(F.count("*").alias("n"))
-        # rows of regions that are too large for a task: few, and only their numbers
-        big = [r for r in sizes.where(F.col("n") > capacity).collect() if r["region"] not in stuck]
-        if not big:
-            break
-        table = sets.sparkSession.createDataFrame([(r["region"], r["n"]) for r in big], "region long, n long")
-        parts = materialize(split(sets, table, near, pivots))
-        rest = sets.join(table, "region", "left_anti")
-        largest = parts.groupBy("region").agg(F.count("*").alias("n")).where(F.col("n") > 0.9 * max(r["n"] for r in big)).collect()
-        stuck |= {r["region"] for r in largest}
-        sets = parts.unionByName(rest.select("name", "region", "grams"))
-    return sets.groupBy("region").applyInPandas(join, "a long, b long")
+    return bounded(sets, near, pivots, capacity, depth).groupBy("region").applyInPandas(join, "a long, b long")
 
 
 def near_copies(docs: DataFrame, n: int = N, near: int = NEAR) -> DataFrame:

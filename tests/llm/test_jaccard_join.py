@@ -86,3 +86,31 @@ def test_nulls_repeats_and_empty_tables(spark):
     assert got == [(False, 4, 4), (False, 4, 4), (False, 7, 7), (False, 7, 7)]
     assert sorted(str(r["component_id"]) for r in J.near_copies(df).where("doc_id is null").collect()) == ["4", "None"]
     assert J.near_copies(df.where(F.lit(False))).count() == 0
+
+
+def test_a_region_that_pivots_cannot_divide_is_bounded(spark, monkeypatch):
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(400)]
+    docs = []
+    for i in range(150):  # distinct near copies of one text, each within reach of every other
+        x = list(base)
+        for j in rng.sample(range(400), 3):
+            x[j] = f"e{i}"
+        docs.append(" ".join(x))
+    sets = [J.gram_set(t) for t in docs]
+    df = spark.createDataFrame([(J.set_name(s), 1, s.tobytes()) for s in sets], "name long, region long, grams binary")
+    seen, run = [], J.paired
+
+    def paired(*a):
+        seen.append(run(*a))
+        return seen[-1]
+
+    monkeypatch.setattr(J, "CAPACITY", 30)
+    monkeypatch.setattr(J, "paired", paired)
+    found = J.links(df, pivots=6, capacity=30).collect()
+    assert max(r["count"] for r in seen[0].groupBy("region").count().collect()) <= 60
+    number = {J.set_name(s): i for i, s in enumerate(sets)}
+    forest = J.Forest(len(docs))
+    for a, b in found:
+        forest.link(number[a], number[b])
+    assert [forest.root(i) for i in range(len(docs))] == [g for _, g in brute(docs)]
