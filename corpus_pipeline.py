@@ -5,7 +5,7 @@ doc_id, text, lang, source and n_chars, and returns a DataFrame that is written
 the next one. All stages but the last return the columns of documents, and what a stage decides takes effect:
 
 1. quality: documents that the classifier rejects go. The model learns from the labels of the folds that may
-   be learned from, and from the texts of docs.
+   be learned from, and from the texts of docs. Where nothing could be learned (no positives) all documents stay.
 2. near_copies: of every group of near copies the document with the smallest doc_id stays. Documents without
    an id, and documents without words, are no one's copies and stay; of repeated rows of one id one stays.
 3. repeats: bytes that a passage found elsewhere covers go from the texts, n_chars follows, and documents of
@@ -32,6 +32,8 @@ ORACLE_SQL = None
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = learned(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    if model is None:
+        return docs.select(*COLUMNS)
     plain = docs.select(*COLUMNS, F.col("text").alias("kept"))
     return classify(plain, model).where("predicted = 1").select("doc_id", F.col("kept").alias("text"), "lang", "source", "n_chars")
 

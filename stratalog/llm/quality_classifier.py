@@ -18,7 +18,8 @@ words and lines. The model is fitted on the driver from at most MOST positives a
 
 Cases: a null text is an empty one, and an empty text is scored as any other; rows are kept as they are, null
 and repeated ids included; of several labels of one document the highest counts; null labels are none;
-without positives or unlabelled rows to learn from every score is 0.5. Extra columns are ignored.
+where every document has a label, the unlabelled sample is drawn from all of them; without positives to learn
+from every score is 0.5. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -181,6 +182,9 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST, seed: int = SEED
     x = np.frombuffer(b"".join(rows.column("x").to_pylist()), np.float32).reshape(rows.num_rows, WIDTH)
     is_positive = np.array(rows.column("positive").to_pylist()) == 1
     p, u = x[is_positive], x[~is_positive]
+    if len(p) and not len(u):  # every document has a label: labelled ones are the sample
+        again = featured(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(first(ids)), "doc_id")).orderBy("doc_id", "x").toArrow()
+        u = np.frombuffer(b"".join(again.column("x").to_pylist()), np.float32).reshape(again.num_rows, WIDTH)
     if not len(p) or not len(u):
         return None, 0.5
     prior = class_prior(p, u, seed)

@@ -96,3 +96,11 @@ def test_null_ids_repeats_and_empty_tables(spark, tables):
         assert stage(spark, odd.where(F.lit(False)), tables).count() == 0, name
     kept = C.near_copies_stage(spark, odd, tables).collect()
     assert sorted(str(r["doc_id"]) for r in kept) == ["1", "2", "None", "None"]
+
+
+def test_quality_keeps_documents_when_nothing_is_learned(spark, tables, tmp_path):
+    docs = spark.read.parquet(f"{tables}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert C.quality(spark, docs, str(tmp_path)).count() == docs.count()
+    labels = docs.select("doc_id", F.when(F.col("text").contains("BUY"), 0).otherwise(1).alias("quality"))
+    assert quality_classifier.learned(docs, labels) is not None
