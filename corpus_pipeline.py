@@ -6,8 +6,9 @@ the next one. All stages but the last return the columns of documents, and what
 
 1. quality: documents that the classifier rejects go. The model learns from the labels of the folds that may
    be learned from, and from the texts of docs. Where nothing could be learned (no positives) all documents stay.
-2. near_copies: of every group of near copies the document with the smallest doc_id stays. Documents without
-   an id, and documents without words, are no one's copies and stay; of repeated rows of one id one stays.
+2. near_copies: of every group of near copies the row with the smallest doc_id stays (one of them, if an id
+   repeats in the group); rows of one id with different texts are different documents. Documents without an id,
+   and documents without words, are no one's copies and stay, of the latter one for each id.
 3. repeats: bytes that a passage found elsewhere covers go from the texts, n_chars follows, and documents of
    which no word is left go. A character that loses one of its bytes goes whole.
 4. mix: a document stands as often as the mix takes it (0, 1 or 2 times).
@@ -39,12 +40,15 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = near_copies(docs)
-    first = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("keep")).distinct()
-    named = docs.where("doc_id IS NOT NULL").select(*COLUMNS).join(first, F.col("doc_id") == F.col("keep"), "left_semi")
-    # repeated rows of one id: one stays
-    one = named.groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("r")).select("doc_id", "r.*")
-    return one.unionByName(docs.where("doc_id IS NULL").select(*COLUMNS))
+    rows = materialize(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()))
+    groups = near_copies(rows.select(F.col("row").alias("doc_id"), "text")).withColumnRenamed("doc_id", "row")
+    # documents without words are copies of nothing but the rows of their own id
+    empty = F.col("n_shingles") == 0
+    named = rows.where("doc_id IS NOT NULL").select("row", "doc_id").join(groups, "row")
+    group = named.select("row", "doc_id", empty.alias("empty"), F.when(empty, F.col("doc_id")).otherwise(F.col("component_id")).alias("group"))
+    first = group.groupBy("empty", "group").agg(F.min(F.struct("doc_id", "row")).alias("r")).select("r.row")
+    kept = rows.join(first, "row", "left_semi")
+    return kept.unionByName(rows.where("doc_id IS NULL")).select(*COLUMNS)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

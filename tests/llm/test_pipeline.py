@@ -104,3 +104,13 @@ def test_quality_keeps_documents_when_nothing_is_learned(spark, tables, tmp_path
     assert C.quality(spark, docs, str(tmp_path)).count() == docs.count()
     labels = docs.select("doc_id", F.when(F.col("text").contains("BUY"), 0).otherwise(1).alias("quality"))
     assert quality_classifier.learned(docs, labels) is not None
+
+
+def test_different_texts_of_one_id_are_documents_of_their_own(spark, tables):
+    a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    docs = spark.createDataFrame([(3, b, "en", "s", 0), (5, a, "en", "s", 0), (5, b + " more", "en", "s", 0), (5, a, "en", "s", 0), (6, "", "en", "s", 0), (6, None, "en", "s", 0), (7, "", "en", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = sorted((r["doc_id"], r["text"] or "") for r in C.near_copies_stage(spark, docs, tables).collect())
+    assert kept == [(3, b), (5, a), (6, ""), (7, "")]
+    swapped = docs.withColumn("text", F.translate("text", "ab", "ba"))
+    kept = sorted((r["doc_id"], (r["text"] or "")[:2]) for r in C.near_copies_stage(spark, swapped, tables).collect())
+    assert kept == [(3, "a0"), (5, "b0"), (6, ""), (7, "")]
