@@ -59,7 +59,7 @@ def test_every_stage_against_brute_force(spark, tables):
     assert set(left) == want and after.count() == len(want) and all(tuple(left[i]) == tuple(before[i]) for i in left)
 
     ids = sorted(left)
-    cut = dict(zip(ids, brute_repeats([left[i]["text"] for i in ids])))
+    cut = dict(zip(ids, brute_repeats([left[i]["text"] for i in ids], C.PASSAGE)))
     after = materialize(C.repeats(spark, after, tables))
     assert after.columns == C.COLUMNS
     now = {r["doc_id"]: r for r in after.collect()}

@@ -42,13 +42,59 @@ def corpus(seed):
     return docs
 
 
+def frame(spark, docs):
+    return spark.createDataFrame([(i, t, 1) for i, t in enumerate(docs)], "doc_id long, text string, name int").repartition(5)
+
+
+def same(got, docs, lengths):
+    wants = [brute(docs, n) for n in lengths]
+    for r in got:
+        i = r["doc_id"]
+        assert tuple(r)[1:5] == wants[0][i], i
+        assert r["covered_bytes"] == [w[i][1] for w in wants], i
+    assert len(got) == len(docs)
+
+
 def test_same_as_brute_force(spark):
-    for seed in (1, 2):
+    for seed, lengths in ((1, (400,)), (2, (400, 200)), (3, (90,))):
         docs = corpus(seed)
-        df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(docs)], "doc_id long, text string, name int").repartition(5)
-        got = {r["doc_id"]: tuple(r)[1:] for r in S.suffix_dedup(df).collect()}
-        for i, want in enumerate(brute(docs)):
-            assert got[i] == want, (seed, i)
+        same(S.suffix_dedup(frame(spark, docs), lengths).collect(), docs, lengths)
+
+
+def test_common_cores_are_told_and_heavy_ones_counted(spark, monkeypatch):
+    docs = corpus(4)
+    monkeypatch.setattr(S, "FLOOR", 6)
+    for group, floor in ((50_000, 6), (12, 6), (12, 10**6), (2, 3)):
+        monkeypatch.setattr(S, "GROUP", group)
+        monkeypatch.setattr(S, "FLOOR", floor)
+        same(S.suffix_dedup(frame(spark, docs), (400, 200)).collect(), docs, (400, 200))
+
+
+def test_one_passage_in_thousands_of_surroundings(spark):
+    rng = random.Random(8)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = text(500)
+    docs = [text(rng.randint(0, 150)) + passage[rng.randint(0, 90) : len(passage) - rng.randint(0, 90)] + text(rng.randint(0, 150)) for _ in range(3000)]
+    same(S.suffix_dedup(frame(spark, docs), (400, 200)).collect(), docs, (400, 200))
+
+
+def test_a_very_long_text(spark, monkeypatch):
+    monkeypatch.setattr(S, "RUN_BYTES", 20_000)
+    rng = random.Random(3)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    part = text(3000)
+    docs = [text(60_000) + part + text(40_000) + part, "ab" * 30_000, text(10) + part[100:900]]
+    same(S.suffix_dedup(frame(spark, docs)).collect(), docs, (400,))
+
+
+def test_query_columns(spark, tmp_path):
+    docs = corpus(6)
+    frame(spark, docs).write.parquet(f"{tmp_path}/documents.parquet")
+    got = S.op7_suffix_dedup(spark, str(tmp_path))
+    assert got.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage"]
+    want, short = brute(docs), brute(docs, S.PASSAGE)
+    for r in got.collect():
+        assert tuple(r)[1:] == (*want[r["doc_id"]], short[r["doc_id"]][1])
 
 
 def test_null_ids_repeated_rows_and_empty(spark):
@@ -62,7 +108,7 @@ def test_merge_gives_order_and_shared_lengths():
     rng = random.Random(9)
     pool = [bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 12))) for _ in range(300)]
     lists = [sorted(rng.sample(pool, rng.randint(0, 60))) for _ in range(7)]
-    streams = [S.read_run(S.write_run([(s, i, 0, 0, 0, b"") for s in one])) for i, one in enumerate(lists)]
+    streams = [S.read_run(S.write_run([(s, b"", 0, bytes([i])) for s in one])) for i, one in enumerate(lists)]
     merged = list(S.merge(streams))
     assert [u[0] for _, u in merged] == sorted(s for one in lists for s in one)
     for (_, a), (k, b) in zip(merged, merged[1:]):
