@@ -25,7 +25,7 @@ from stratalog.llm.common import documents, materialize
 from stratalog.llm.jaccard_join import near_copies
 from stratalog.llm.quality_classifier import classify, learned
 from stratalog.llm.source_mix import mix, sized
-from stratalog.llm.suffix_dedup import suffix_dedup
+from stratalog.llm.suffix_dedup import PASSAGE, suffix_dedup
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 ORACLE_SQL = None
@@ -53,7 +53,7 @@ def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = materialize(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()))
-    cut = suffix_dedup(rows.select(F.col("row").alias("doc_id"), "text"), with_text=True).where("n_removed > 0").select(F.col("doc_id").alias("row"), "kept")
+    cut = suffix_dedup(rows.select(F.col("row").alias("doc_id"), "text"), (PASSAGE,), with_text=True).where("n_removed > 0").select(F.col("doc_id").alias("row"), "kept")
     text = F.coalesce("kept", "text")
     new = rows.join(cut, "row", "left").withColumn("text", text).withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long"))
     return new.where(F.col("kept").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*COLUMNS)
