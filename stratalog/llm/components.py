@@ -17,12 +17,14 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     now = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = None
     for _ in range(rounds):
+        # the smallest node around each one; a table of its own, so that the join can split the rows of a node with many neighbours
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        lowest = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(lowest, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
+        least = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("m")))
+        large = now.join(least, F.col("b") == F.col("node")).select(F.greatest("a", "m").alias("a"), F.least("a", "m").alias("b")).where("a <> b").distinct()
+        down = large
+        lowest = down.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m"))
+        two = F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))
+        small = down.join(lowest, F.col("a") == F.col("node")).select(F.explode(two).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
         now = materialize(small)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(state) == seen:

@@ -9,15 +9,18 @@ again and again, and every division keeps each linked pair together somewhere:
    symmetric difference: that window of cells is where a set is replicated to, k being a part of the set. So two
    linked sets meet in k cells at least: a set that meets others in fewer has no link, and the k - 1 most
    crowded cells of a set can be left out, as the least crowded cell of a linked pair is never among
-   them. What hangs together by the cells that stay is a region, and no link leaves a region.
-2. Pivots that are sets. A region of more than CAPACITY documents is split over tasks: each set goes to its nearest of
-   PIVOTS pivots (or, if all are farther than FAR, to the rest), and is replicated to every other cell j where a
-   partner may live: d(x, p_j) <= FAR + EPS, and d(x, p_j) <= d(x, p_home) + 2 EPS. Both follow from the triangle
-   inequality. Cells are split again until they are small. A region that pivots do not divide (a sample of its
-   sets tells) stays as it is and is joined over tasks: its sets are dealt to blocks, and every two blocks meet
-   in a task of their own, so no task holds more than about CAPACITY sets.
-3. Within a task a region is joined the same way, recursively, down to cells in which sizes of intersections
-   are counted from postings.
+   them. What hangs together by the cells that stay is a region, and no link leaves a region. Documents can't be the
+   pivots of this first division: two unrelated texts share no n-gram at all, so nearly all sets are at distance 1 from
+   nearly all documents, and would fall into one cell.
+2. Pivots that are sets. Within a region sets have much in common, and every region of more than LEAF sets is
+   divided by set pivots, each the set that is farthest from the pivots before it. A set goes to its nearest pivot
+   (or, if all are farther than FAR, to the rest), and is replicated to every other cell j where a partner may live:
+   d(x, p_j) <= FAR + EPS, and d(x, p_j) <= d(x, p_home) + 2 EPS. Both follow from the triangle inequality. Sets within
+   EPS of a pivot are linked to it there and then. Cells are divided again until they have LEAF sets, in which every
+   set is compared with every other, or until all their sets hang together already.
+3. A region of more than CAPACITY sets, more than a task should hold, is first divided over tasks in the same way. One
+   that pivots do not divide (a sample of its sets tells) stays as it is: its sets are dealt to blocks, and every two
+   blocks meet in a task of their own, so no task holds more than about CAPACITY sets.
 
 Copies (equal sets) are one point of the space and are never compared with each other. A task returns at
 most one link per set that joins two components of its own, which keeps every component and no pairs.
@@ -51,7 +54,7 @@ N = 5
 NEAR = 80
 EPS = 1 - NEAR / 100
 FAR = 0.6
-PIVOTS, CAPACITY, WORK = 24, 8192, 100_000_000
+PIVOTS, LEAF, CAPACITY = 24, 2, 8192
 #: Sets of a region that tell whether a division is worth it.
 TOLD = 256
 #: A window holds a SPARE-th of its set more n-grams than one meeting needs.
@@ -63,7 +66,7 @@ class WordHashes(dict):
     """Word -> 64-bit hash, kept for the next time while there is room."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 150_000:
             self.clear()
         found = self[word] = xxhash.xxh3_64_intdigest(word)
         return found
@@ -145,7 +148,7 @@ class Sets:
         self.ends = np.cumsum(self.sizes)
         self.starts = self.ends - self.sizes
         values, self.grams = np.unique(np.concatenate(sets), return_inverse=True)
-        self.kinds = len(values)
+        self.mark = np.zeros(len(values), bool)
 
     def of(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The grams of rows, and for each the place of its row in rows."""
@@ -154,10 +157,16 @@ class Sets:
         at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(self.starts[rows], size)
         return self.grams[at], owner
 
+    def common(self, row: int, grams: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+        """How many grams the row shares with each of n rows."""
+        own = self.grams[self.starts[row] : self.ends[row]]
+        self.mark[own] = True
+        both = np.bincount(owner[self.mark[grams]], minlength=n)
+        self.mark[own] = False
+        return both
+
     def distance(self, row: int, grams: np.ndarray, owner: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        mark = np.zeros(self.kinds, bool)
-        mark[self.grams[self.starts[row] : self.ends[row]]] = True
-        both = np.bincount(owner[mark[grams]], minlength=len(sizes))
+        both = self.common(row, grams, owner, len(sizes))
         return 1 - both / (sizes + self.sizes[row] - both)
 
 
@@ -192,47 +201,65 @@ def voronoi(distances: np.ndarray, eps: float, far: float) -> tuple[np.ndarray,
     return np.concatenate([row, rest]), np.concatenate([cell, np.full(len(rest), -1)])
 
 
-def count_join(sets: Sets, rows: np.ndarray, forest: Forest, near: int) -> None:
-    """Link the rows of a cell by intersections counted from postings."""
+def divide(sets: Sets, rows: np.ndarray, forest: Forest, near: int, pivots: int) -> np.ndarray:
+    """Distances of rows to pivots among them, each farthest from those before it; sets near enough to one are linked to it."""
+    grams, owner = sets.of(rows)
+    sizes = sets.sizes[rows]
+    nearest, found, i = np.full(len(rows), 2.0), [], 0
+    for _ in range(max(2, min(pivots, len(rows) // LEAF))):
+        both = sets.common(int(rows[i]), grams, owner, len(rows))
+        union = sizes + sizes[i] - both
+        for j in np.flatnonzero(100 * both >= near * union).tolist():
+            if j != i:
+                forest.link(int(rows[i]), int(rows[j]))
+        found.append(1 - both / union)
+        nearest = np.minimum(nearest, found[-1])
+        i = int(nearest.argmax())
+    return np.stack(found, 1)
+
+
+def compare(sets: Sets, rows: np.ndarray, forest: Forest, near: int) -> None:
+    """Link rows by comparing all with all, but for those that the largest number of rows hangs together with already."""
+    roots = np.array([forest.root(int(x)) for x in rows])
+    values, at, times = np.unique(roots, return_inverse=True, return_counts=True)
+    open_ = np.flatnonzero(at != times.argmax())
+    if not len(open_):
+        return
     grams, owner = sets.of(rows)
     order = np.argsort(grams, kind="stable")
     grams, owner = grams[order], owner[order]
-    ends = np.searchsorted(grams, np.arange(sets.kinds), "right")
-    begins = np.searchsorted(grams, np.arange(sets.kinds), "left")
     sizes = sets.sizes[rows]
-    for i, row in enumerate(rows):
-        own = sets.grams[sets.starts[row] : sets.ends[row]]
-        lists = [owner[a:b] for a, b in zip(begins[own].tolist(), ends[own].tolist()) if b - a > 1]
+    for i in open_.tolist():
+        own = sets.grams[sets.starts[rows[i]] : sets.ends[rows[i]]]
+        begins, ends = np.searchsorted(grams, own, "left"), np.searchsorted(grams, own, "right")
+        lists = [owner[a:b] for a, b in zip(begins.tolist(), ends.tolist()) if b - a > 1]
         if not lists:
             continue
         both = np.bincount(np.concatenate(lists), minlength=len(rows))
         for j in np.flatnonzero(100 * both >= near * (sizes + sizes[i] - both)).tolist():
             if j != i:
-                forest.link(int(row), int(rows[j]))
+                forest.link(int(rows[i]), int(rows[j]))
 
 
-def join_region(sets: Sets, rows: np.ndarray, forest: Forest, near: int = NEAR, pivots: int = PIVOTS, work: int = WORK) -> None:
-    """Link all pairs of rows, directly or through others."""
+def join_region(sets: Sets, rows: np.ndarray, forest: Forest, near: int = NEAR, pivots: int = PIVOTS, leaf: int = LEAF) -> int:
+    """Link all pairs of rows, directly or through others; the number of divisions that lay one within the other."""
     eps = 1 - near / 100
-    todo = [rows]
+    todo, deepest = [(rows, 0)], 0
     while todo:
-        rows = todo.pop()
-        if len(rows) < 2:
+        rows, level = todo.pop()
+        if len({forest.root(int(x)) for x in rows}) < 2:  # they hang together: no link among them tells more
             continue
-        grams, owner = sets.of(rows)
-        times = np.bincount(grams)
-        if int((times.astype(np.int64) ** 2).sum()) <= work:
-            count_join(sets, rows, forest, near)
+        if len(rows) <= leaf:
+            compare(sets, rows, forest, near)
             continue
-        sizes = sets.sizes[rows]
-        chosen = rows[np.linspace(0, len(rows) - 1, min(pivots, len(rows)), dtype=np.int64)]
-        distances = np.stack([sets.distance(int(p), grams, owner, sizes) for p in chosen], 1)
-        row, cell = voronoi(distances, eps, FAR)
+        row, cell = voronoi(divide(sets, rows, forest, near, pivots), eps, FAR)
         parts = [rows[row[cell == c]] for c in np.unique(cell)]
+        deepest = max(deepest, level + 1)
         if max(map(len, parts)) <= 0.9 * len(rows):
-            todo += parts
+            todo += [(part, level + 1) for part in parts]
         else:  # every set is near every pivot: no division helps
-            count_join(sets, rows, forest, near)
+            compare(sets, rows, forest, near)
+    return deepest
 
 
 def with_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:

@@ -63,9 +63,9 @@ def test_divided_regions_lose_no_link(spark, monkeypatch):
     sets = [J.gram_set(t or "") for t in docs]
     want = brute(docs)
     kept = [i for i, s in enumerate(sets) if len(s)]
-    for work in (10**9, 20_000, 500):
+    for leaf, pivots in ((10**9, 4), (40, 4), (4, 4), (2, 24)):
         forest = J.Forest(len(kept))
-        J.join_region(J.Sets([sets[i] for i in kept]), np.arange(len(kept)), forest, pivots=4, work=work)
+        J.join_region(J.Sets([sets[i] for i in kept]), np.arange(len(kept)), forest, pivots=pivots, leaf=leaf)
         assert [kept[forest.root(i)] for i in range(len(kept))] == [want[i][1] for i in kept]
     # the same across tasks: all sets in one region, split twice and more
     one = spark.createDataFrame([(J.set_name(sets[i]), 1, sets[i].tobytes()) for i in kept], "name long, region long, grams binary")
@@ -88,6 +88,46 @@ def test_nulls_repeats_and_empty_tables(spark):
     assert J.near_copies(df.where(F.lit(False))).count() == 0
 
 
+def test_ordinary_documents_are_divided_by_set_pivots(spark):
+    """The regions of sf0.01 that hold more than a leaf go through set pivots, some of them twice and more."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = J.cells(docs, 5, 80)
+    sets = {}
+    for r in docs.collect():
+        g = J.gram_set(r["text"] or "")
+        if len(g):
+            sets[J.set_name(g)] = g
+    groups = {}
+    for r in J.regions(J.materialize(rows), 80).collect():
+        groups.setdefault(r["component"], []).append(r["node"])
+    levels = []
+    for names in groups.values():
+        if len(names) > J.LEAF:
+            forest = J.Forest(len(names))
+            levels.append(J.join_region(J.Sets([sets[x] for x in names]), np.arange(len(names)), forest))
+    assert levels and min(levels) >= 1
+    # a group of edited copies, each made from the one before, is divided within its divisions
+    rng, x, chain = random.Random(3), [f"w{i}" for i in range(300)], []
+    for i in range(200):
+        x = list(x)
+        x[rng.randrange(300)] = f"e{i}"
+        chain.append(J.gram_set(" ".join(x)))
+    forest = J.Forest(200)
+    assert J.join_region(J.Sets(chain), np.arange(200), forest, pivots=4) >= 2
+    assert {forest.root(i) for i in range(200)} == {0}
+
+
+def test_a_very_long_text(spark):
+    rng = random.Random(4)
+    words = [f"w{rng.randint(0, 5000)}" for _ in range(60_000)]
+    other = list(words)
+    for j in rng.sample(range(60_000), 1500):
+        other[j] = "x"
+    docs = [" ".join(words), " ".join(other), "q" * 300_000, " ".join(words[:40_000])]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in J.near_copies(frame(spark, docs)).collect()}
+    assert [got[i] for i in range(4)] == brute(docs)
+
+
 def test_a_region_that_pivots_cannot_divide_is_bounded(spark, monkeypatch):
     rng = random.Random(5)
     base = [f"w{i}" for i in range(400)]
