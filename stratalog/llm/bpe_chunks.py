@@ -1,12 +1,13 @@
 """BPE encoding with content-defined chunk reuse, and decoding.
 
 Texts are cut into chunks where a rolling hash of eight bytes has certain bits, so copies of a passage give
-the same chunks in every document, whatever stands before. A chunk is encoded once by a worker, from its
-first blank to its last, and its ids are reused for every document that has it. What lies across a join
-(the tail of one chunk and the head of the next) is repaired: it is encoded anew with the whole word on
-either side, and accepted when those words come out exactly as they did within their chunks; else the window
-grows by further words until they agree, in the end over both chunks. Blanks are cuts that this
-kind of tokenizer makes itself, so agreement of the edges fixes all that lies beyond them.
+the same chunks in every document, whatever stands before. A chunk is encoded by the library as a whole, from its
+first blank to its last, once by a worker, and its ids are reused for every document that has it. What lies across a
+join (the tail of one chunk and the head of the next) is repaired: it is encoded anew with the whole word on
+either side, and accepted when those words come out exactly as they stand at the edges of both chunks' ids; else
+the window grows by further words until they agree, in the end over both chunks. A document of which a join never
+agrees is encoded whole. Blanks are cuts that this kind of tokenizer makes itself, so agreement of the edges fixes all
+that lies beyond them.
 
 Only worker-local state is used: a lost executor's documents are encoded again with the same result. The
 stores are bounded and are emptied when full.
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import documents, each, map_arrow, texts
-from .tokens import Store, encoded, tokenizer, vocabulary_path
+from .tokens import encoded, tokenizer, vocabulary_path
 
 VOCABULARY = "word_bpe_49k.json"
 #: A cut falls at one in 2**CUT_BITS places; none within LEAST bytes after another.
@@ -56,32 +57,42 @@ def cuts(data: bytes) -> list[int]:
     return ends
 
 
+def packed(ids: list[int]) -> bytes:
+    return np.array(ids, "<u4").tobytes()
+
+
 class Chunk:
-    """head | first ... last | tail: the whole words lie between the first and the last blank."""
+    """head | body | tail: the body lies between the first and the last blank and has whole words only."""
 
-    __slots__ = ("head", "tail", "words", "ids", "whole")
+    __slots__ = ("head", "tail", "body", "ids", "whole")
 
     def __init__(self, data: bytes) -> None:
-        parts = data.split()
+        parts = data.split(None, 1)
+        self.ids, self.body = b"", b""
         self.whole = len(parts) == 1 and data[:1] not in BLANKS and data[-1:] not in BLANKS
-        self.ids = b""
+        self.head = parts[0] if parts and data[:1] not in BLANKS else b""
         if self.whole:
-            self.head, self.tail, self.words = data, b"", []
+            self.tail = b""
             return
-        self.head = parts.pop(0) if parts and data[0] not in BLANKS else b""
-        self.tail = parts.pop() if parts and data[-1] not in BLANKS else b""
-        self.words = parts
+        self.tail = data.rsplit(None, 1)[-1] if parts and data[-1:] not in BLANKS else b""
+        self.body = data[len(self.head) : len(data) - len(self.tail)].strip()
 
 
 class Encoder:
     def __init__(self, path: str) -> None:
         self.path = path
-        self.words = Store(path, lower=True)
         self.chunks: dict[bytes, Chunk] = {}
         self.size = 0
+        one, two, both, wide = encoded(path, ["one", "two's", "one two's", " one\n two's "])
+        self.cuts_at_blanks = one + two == both == wide
+
+    def ids_of(self, strings: list[bytes]) -> dict[bytes, bytes]:
+        return dict(zip(strings, map(packed, encoded(self.path, [x.decode() for x in strings]))))
 
     def encode(self, batch: list[bytes]) -> list[tuple[bytes, int, int]]:
-        """(ids as bytes, chunks, chunks reused) of each text."""
+        """(ids as bytes, chunks, chunks reused) of each text. A tokenizer that sees across blanks gets whole texts."""
+        if not self.cuts_at_blanks:
+            return [(packed(ids), 1, 0) for ids in encoded(self.path, [x.decode() for x in batch])]
         docs: list[list[Chunk]] = []
         reused: list[int] = []
         fresh: list[Chunk] = []
@@ -94,20 +105,22 @@ class Encoder:
                 if chunk is None:
                     chunk = self.chunks[piece] = Chunk(piece)
                     fresh.append(chunk)
-                    self.size += 2 * len(piece)
+                    self.size += 4 * len(piece)
                 else:
                     again += 1
                 chunks.append(chunk)
             docs.append(chunks)
             reused.append(again)
-        self.words.learn({w for c in fresh for w in c.words})
-        take = self.words.__getitem__
+        found = self.ids_of(list({c.body for c in fresh if c.body}))
         for c in fresh:
-            c.ids = b"".join(map(take, c.words))
+            c.ids = found.get(c.body, b"")
         joins = [self.joins(chunks) for chunks in docs]
-        self.repair([j for own in joins for j in own])
+        lost = {id(j) for j in self.repair([j for own in joins for j in own])}
         out = []
-        for chunks, own, again in zip(docs, joins, reused):
+        for data, chunks, own, again in zip(batch, docs, joins, reused):
+            if any(id(j) in lost for j in own):
+                out.append((packed(encoded(self.path, [data.decode()])[0]), len(chunks), again))
+                continue
             parts, at = [], 0
             for j in own:
                 parts += [c.ids for c in chunks[at : j.right]]
@@ -122,50 +135,62 @@ class Encoder:
     @staticmethod
     def joins(chunks: list[Chunk]) -> list[Join]:
         """What lies between whole words of neighbours; chunks without a blank are part of a join."""
-        found, open_, left = [], b"", 0
+        found, open_, left = [], b"", None
         for i, c in enumerate(chunks):
             open_ += c.head
             if not c.whole:
                 if open_:
-                    found.append(Join(open_, chunks[left:i], c, i))
-                open_, left = c.tail, i
+                    found.append(Join(open_, left, c, i))
+                open_, left = c.tail, c
         if open_:
-            found.append(Join(open_, chunks[left:], None, len(chunks)))
+            found.append(Join(open_, left, None, len(chunks)))
         return found
 
-    def repair(self, joins: list[Join]) -> None:
-        """Encode each join with words on either side until those agree with their chunks' own."""
-        around = 1
+    def repair(self, joins: list[Join]) -> list[Join]:
+        """Encode each join with words on either side until those agree with their chunks' own; those that never do."""
+        around, lost = 1, []
         while joins:
-            windows = list({j.window(around) for j in joins})
-            got = dict(zip(windows, encoded(self.path, [w.decode() for w in windows])))
-            joins = [j for j in joins if not j.settle(got[j.window(around)], around, self.words)]
+            windows = [j.window(around) for j in joins]
+            got = self.ids_of(list({x for w in windows for x in w if x}))
+            got[b""] = b""
+            rest = []
+            for j, (left, all_, right) in zip(joins, windows):
+                if not j.settle(got[left], got[all_], got[right]):
+                    (rest if around < j.most() else lost).append(j)
+            joins = rest
             around *= 4
+        return lost
 
 
 class Join:
-    __slots__ = ("middle", "before", "after", "right", "ids")
-
-    def __init__(self, middle: bytes, left: list[Chunk], right: Chunk | None, at: int) -> None:
-        self.middle, self.right, self.ids = middle, at, b""
-        self.before = next((c.words for c in left if not c.whole), [])
-        self.after = right.words if right else []
-
-    def window(self, around: int) -> bytes:
-        return b" ".join([*self.before[-around:], self.middle, *self.after[:around]])
-
-    def settle(self, ids: list[int], around: int, words: Store) -> bool:
-        """Whether both edges agree; if so, or if nothing more can be added, the ids of the middle are taken."""
-        data = np.array(ids, "<u4").tobytes()
-        if not words.keys() >= {*self.before[-around:], *self.after[:around]}:
-            words.learn({*self.before[-around:], *self.after[:around]})
-        left = b"".join(words[w] for w in self.before[-around:])
-        right = b"".join(words[w] for w in self.after[:around])
-        agree = data.startswith(left) and data.endswith(right) and len(left) + len(right) <= len(data)
+    """What lies between the bodies of two chunks (left or right may be missing)."""
+
+    __slots__ = ("middle", "left", "next", "right", "ids")
+
+    def __init__(self, middle: bytes, left: Chunk | None, right: Chunk | None, at: int) -> None:
+        self.middle, self.left, self.next, self.right, self.ids = middle, left, right, at, b""
+
+    def most(self) -> int:
+        """Words of the longer of both bodies."""
+        return max(len(c.body.split()) if c else 0 for c in (self.left, self.next))
+
+    def window(self, around: int) -> tuple[bytes, bytes, bytes]:
+        """(words before, all, words after)."""
+        left = b" ".join(self.left.body.rsplit(None, around)[-around:]) if self.left else b""
+        right = b" ".join(self.next.body.split(None, around)[:around]) if self.next else b""
+        return left, b" ".join(x for x in (left, self.middle, right) if x), right
+
+    def settle(self, left: bytes, all_: bytes, right: bytes) -> bool:
+        """Whether both edges agree with the chunks; if so, the ids of the middle are taken."""
+        agree = (
+            all_.startswith(left)
+            and all_.endswith(right)
+            and len(left) + len(right) <= len(all_)
+            and (not left or self.left.ids.endswith(left))
+            and (not right or self.next.ids.startswith(right))
+        )
         if agree:
-            self.ids = data[len(left) : len(data) - len(right)]
-        elif around >= max(len(self.before), len(self.after)):
-            raise ValueError("this tokenizer sees across blanks; its texts can't be encoded by chunks")
+            self.ids = all_[len(left) : len(all_) - len(right)]
         return agree
 
 

@@ -18,7 +18,6 @@ rows; special tokens written in a text are encoded as the library does. Extra co
 
 from __future__ import annotations
 
-import json
 import struct
 import zlib
 from dataclasses import dataclass
@@ -30,8 +29,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, each, map_arrow, shared_folder, texts
-from .tokens import LETTERS, vocabulary_path
+from .common import documents, each, map_arrow, shared_folder
+from .tokens import Words, tokenizer, vocabulary_path
 
 VOCABULARY = "byte_bpe_50k.json"
 END = 0
@@ -41,17 +40,16 @@ HEAD = struct.Struct("<4sQQQ")  # magic, documents, ids, bits
 
 
 @lru_cache(maxsize=2)
-def encoding(path: str):
-    """The tokenizer file as merge ranks: the same ids as the tokenizers library gives, in a third of the time."""
-    import public_tokenizers
-    import tiktoken
+def words_of(path: str, width: str) -> Words:
+    return Words(path, np.dtype(width).itemsize)
 
-    with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
-    special = {x["content"]: x["id"] for x in spec["added_tokens"]}
-    byte = {ord(c): b for b, c in LETTERS.items()}
-    ranks = {bytes(byte[ord(c)] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
-    return tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+
+def vocabulary_size(vocabulary: str) -> int:
+    return tokenizer(vocabulary_path(vocabulary)).get_vocab_size(with_added_tokens=True)
+
+
+def width_of(size: int) -> str:
+    return "<u2" if size <= 1 << 16 else "<u4"
 
 
 def code_lengths(counts: np.ndarray, limit: int = MAX_BITS) -> np.ndarray:
@@ -164,11 +162,11 @@ def read_block(code: Code, payload: bytes) -> tuple[list, list[np.ndarray]]:
 def encode_ids(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """doc_id and ids (binary, 16 or 32 bits each), the end id last."""
     kind = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
+    width = width_of(vocabulary_size(vocabulary))
+    end = np.array([END], width).tobytes()
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        enc = encoding(vocabulary_path(vocabulary))
-        width = "<u2" if enc.n_vocab <= 1 << 16 else "<u4"
-        ids = [np.append(enc.encode_to_numpy(t, allowed_special="all"), np.uint32(END)).astype(width).tobytes() for t in texts(batch)]
+        ids = [x.tobytes() + end for x in words_of(vocabulary_path(vocabulary), width).encode(batch.column("text"))]
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], schema=kind)
 
     df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -204,8 +202,8 @@ class TokenFiles:
 def write_token_files(docs: DataFrame, path: str | None = None, vocabulary: str = VOCABULARY) -> TokenFiles:
     spark: SparkSession = docs.sparkSession
     root = path or shared_folder(spark)
-    size = encoding(vocabulary_path(vocabulary)).n_vocab
-    width = "<u2" if size <= 1 << 16 else "<u4"
+    size = vocabulary_size(vocabulary)
+    width = width_of(size)
     plain = encode_ids(docs, vocabulary)
     plain.write.option("compression", "zstd").parquet(f"{root}/ids")
     ids = spark.read.schema(plain.schema).parquet(f"{root}/ids")

@@ -1,21 +1,29 @@
-"""Ids of text pieces that a public tokenizer cannot see across, looked up before they are encoded.
+"""Public tokenizers, and a store of the ids of words for those that cannot see across a blank between words.
 
-A text is cut where the tokenizer's own splitting cuts anyway, at blanks, so the ids of the pieces, joined,
-are the ids of the text. Pieces seen before come from a bounded store of the worker; results don't depend
-on what it holds. A new piece that is one plain word goes to the library's merge model at once; all others go
-through the whole tokenizer.
+A text is cut before each single blank that stands between two words, where the tokenizer's own splitting cuts
+anyway, so the ids of the pieces, joined, are the ids of the text. Each new piece is encoded by the tokenizers
+library: a plain word by its merge model at once, which is what its splitting would hand on, all others by the whole
+tokenizer. Pieces seen before come from a bounded store of the worker. Results don't depend on what it holds.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from array import array
 from functools import lru_cache
 
-#: Pieces kept by a worker, about 90 MB.
-KEPT = 500_000
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+#: Pieces kept by a worker, about 80 MB.
+KEPT = 400_000
 #: Marks that may follow a plain word.
 MARKS = ".,!?;:"
+#: A blank that is not alone between two words (a pattern of Arrow).
+UNEVEN = r"[\s\x0b\x1c-\x1f\x85\p{Z}] | [\s\x0b\x1c-\x1f\x85\p{Z}]|^ | $"
+BETWEEN = re.compile(r"(?<=\S) (?=\S)")
 
 
 @lru_cache(maxsize=4)
@@ -40,46 +48,72 @@ def encoded(path: str, texts: list[str]) -> list[list[int]]:
     return [x.ids for x in tokenizer(path).encode_batch_fast(texts, add_special_tokens=False)]
 
 
-def byte_letters() -> dict[int, str]:
+def byte_letters() -> list[str]:
     """The letter that byte-level vocabularies write for each byte: its own where it can be seen, else one from U+0100 on."""
-    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    seen = {*range(33, 127), *range(161, 173), *range(174, 256)}
     rest = [b for b in range(256) if b not in seen]
-    return {b: chr(b) for b in seen} | {b: chr(256 + i) for i, b in enumerate(rest)}
+    return [chr(b) if b in seen else chr(256 + rest.index(b)) for b in range(256)]
 
 
 LETTERS = byte_letters()
 
 
-class Store(dict):
-    """Piece (bytes without blanks) -> its ids as little-endian unsigned 32-bit integers.
-
-    lower: the tokenizer lowers its input.
-    """
+class Words:
+    """Ids of texts from the ids of their words. The tokenizer is a byte-level one whose splitting takes letters, with the
+    blank before them, as one part, and marks after them as another."""
 
-    def __init__(self, path: str, lower: bool = False) -> None:
-        self.path, self.lower = path, lower
+    def __init__(self, path: str, width: int) -> None:
+        self.path, self.kind = path, {2: "H", 4: "I"}[width]
+        self.first: dict[str, bytes] = {}  # as a text begins
+        self.next: dict[str, bytes] = {}  # after a blank
 
-    def learn(self, pieces: set[bytes]) -> None:
-        """Put every piece in the store; a full one starts anew."""
-        if len(self) > KEPT:
-            self.clear()
-        tokenize, rest, lower = tokenizer(self.path).model.tokenize, [], self.lower
-        for piece in pieces - self.keys():
-            word = piece.decode()
-            core = word if word.isalpha() else word.rstrip(MARKS)
-            if not core.isalpha() or not (piece.isascii() or max(core) <= "\xff"):
-                rest.append(piece)
+    def learn(self, store: dict[str, bytes], words: set[str], before: str) -> None:
+        tokenize, kind, rest, marks = tokenizer(self.path).model.tokenize, self.kind, [], {}
+        ahead = LETTERS[32] if before else ""
+        for w in words - store.keys():
+            core = w if w.isalpha() else w.rstrip(MARKS)
+            if not core.isalpha() or not (w.isascii() or max(core) <= "\xff"):
+                rest.append(w)
                 continue
-            marks = word[len(core) :]
-            if lower:
-                core = core.lower()
-            if not core.isascii():
-                core = core.encode().decode("latin-1").translate(LETTERS)
-            ids = [t.id for t in tokenize(core)]
-            if marks:
-                ids += [t.id for t in tokenize(marks)]
-            self[piece] = array("I", ids).tobytes()
+            ids = [t.id for t in tokenize(ahead + (core if core.isascii() else "".join([LETTERS[b] for b in core.encode()])))]
+            if len(core) < len(w):
+                after = w[len(core) :]
+                if after not in marks:
+                    marks[after] = [t.id for t in tokenize(after)]
+                ids += marks[after]
+            store[w] = array(kind, ids).tobytes()
         for i in range(0, len(rest), 1000):
             part = rest[i : i + 1000]
-            for piece, ids in zip(part, encoded(self.path, [x.decode() for x in part])):
-                self[piece] = array("I", ids).tobytes()
+            for w, ids in zip(part, encoded(self.path, [before + w for w in part])):
+                store[w] = array(kind, ids).tobytes()
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text; null is empty. Each different word of the batch is looked up once."""
+        if len(self.first) + len(self.next) > KEPT:
+            self.first, self.next = {}, {}
+        kind = np.dtype("<u2" if self.kind == "H" else "<u4")
+        texts = pc.fill_null(texts, "")
+        lists = pc.split_pattern(texts, " ")
+        uneven = np.flatnonzero(pc.match_substring_regex(texts, UNEVEN).to_numpy(zero_copy_only=False))
+        if len(uneven):
+            words = lists.to_pylist()
+            for i in uneven.tolist():
+                words[i] = BETWEEN.split(texts[i].as_py())
+            lists = pa.array(words, pa.list_(pa.string()))
+        words = lists.flatten()
+        ends = np.append(0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))).astype(np.int64)
+        coded = words.dictionary_encode()
+        known = coded.dictionary.to_pylist()
+        heads = words.take(pa.array(ends[:-1])).to_pylist()
+        self.learn(self.first, set(heads), "")
+        self.learn(self.next, set(known), " ")
+        parts = [*map(self.next.__getitem__, known), *map(self.first.__getitem__, heads)]
+        data = np.frombuffer(b"".join(parts), kind)
+        size = np.fromiter(map(len, parts), np.int64, len(parts)) // kind.itemsize
+        start = np.cumsum(size) - size
+        which = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        which[ends[:-1]] = len(known) + np.arange(len(heads))
+        size, start = size[which], start[which]
+        stop = np.append(0, np.cumsum(size))
+        ids = data[np.repeat(start - stop[:-1], size) + np.arange(stop[-1])]
+        return [ids[a:b] for a, b in zip(stop[ends[:-1]].tolist(), stop[ends[1:]].tolist())]

@@ -2,7 +2,6 @@ import hashlib
 import random
 
 import numpy as np
-import pytest
 from pyspark.sql import functions as F
 
 from stratalog.llm import bpe_chunks as B
@@ -42,6 +41,23 @@ def test_cuts_depend_on_content_only():
     assert len(inner) >= len(a) - 2 and a[-1] == len(passage)
 
 
-def test_a_tokenizer_that_sees_across_blanks_is_refused():
-    with pytest.raises(ValueError):
-        B.Encoder(vocabulary_path("byte_bpe_50k.json")).encode([b"some words that " * 400])
+def test_a_tokenizer_that_sees_across_blanks_gets_whole_texts():
+    path = vocabulary_path("byte_bpe_50k.json")
+    texts = ["some words that " * 400, "xx abc yy", ""]
+    got = B.Encoder(path).encode([t.encode() for t in texts])
+    assert [np.frombuffer(x, "<u4").tolist() for x, _, _ in got] == encoded(path, texts)
+
+
+def test_joins_that_disagree_grow_and_end_in_the_whole_text(monkeypatch):
+    path = vocabulary_path(B.VOCABULARY)
+    rng = random.Random(6)
+    text = " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(800))
+    (want,) = encoded(path, [text])
+    asked = []
+    settle, window = B.Join.settle, B.Join.window
+    monkeypatch.setattr(B.Join, "window", lambda self, n: asked.append(n) or window(self, n))
+    for turns in (1, 2, 99):  # the first turns are made to disagree
+        asked.clear()
+        monkeypatch.setattr(B.Join, "settle", lambda self, *a: len(set(asked)) >= turns and settle(self, *a))
+        ((ids, _, _),) = B.Encoder(path).encode([text.encode()])
+        assert np.frombuffer(ids, "<u4").tolist() == want and max(asked) >= 4 ** min(turns - 1, 3)
