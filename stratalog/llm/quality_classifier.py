@@ -1,42 +1,50 @@
 """Quality classifier from positives and unlabelled text.
 
 The only labels used are trusted positives; what separates them from the rest is learned against unlabelled
-web text, of which an unknown share is positive too. That share (the class prior) is estimated first: a
-discriminator of positives against unlabelled text is fitted on one half of the sample, and on the other half
-the prior is the least ratio, over all thresholds, of the unlabelled share above the threshold to the
-positive share above it, each with its confidence margin. A linear model then minimises the non-negative
-unbiased risk
+web text, of which an unknown share is positive too. All documents of the fold serve as that text, labelled or not, with
+their labels unseen. The share (the class prior) is estimated first: a discriminator of positives against unlabelled
+text is fitted on one half of both, and on the other half the prior is the least ratio, over all thresholds, of the
+unlabelled share above the threshold to the positive share above it, each with its confidence margin; then the halves
+change places. A linear model then minimises the non-negative unbiased risk
 
     prior * R_p(+) + max(0, R_u(-) - prior * R_p(-))
 
-with the logistic loss by Adam; when the second term falls below 0 its gradient is reversed, so the model
+with the logistic loss and a ridge; where the second term falls below 0 its gradient is reversed, so the model
 cannot profit from calling its own positives negative. The sigmoid of its output is the score.
 
+Every step of the minimisation is one pass over the features of all unlabelled documents, whose gradient is summed over
+tasks, so weights do not depend on how documents lie in tasks. Only the curvature that scales the step comes from samples:
+at most about MOST positives (the bound of the labelled rows that are used at all) and MOST unlabelled documents. It decides
+how fast the steps come to the minimum, not where that lies.
+
 Features come from the whole text only: the frequencies of pairs of character kinds, and a few figures on
-words and lines. The model is fitted on the driver from at most MOST positives and MOST unlabelled documents
-(those with the smallest seeded hash of their id), which is bounded; scoring covers every document.
+words and lines. They are written once for training. Scoring covers every document.
 
-Cases: a null text is an empty one, and an empty text is scored as any other; rows are kept as they are, null
-and repeated ids included; of several labels of one document the highest counts; null labels are none;
-where every document has a label, the unlabelled sample is drawn from all of them; without positives to learn
-from every score is 0.5. Extra columns are ignored.
+Cases: a null text is an empty one, and an empty text is scored as any other; a very long text costs in proportion to its
+length; rows are kept as they are, null and repeated ids included; of several labels of one document the highest counts;
+null labels are none; a positive id with several texts counts with one of them; an empty table gives no rows; without
+positives among the documents every score is 0.5. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, each, held_out, map_arrow, texts
+from .common import documents, each, held_out, map_arrow, materialize, session_of, texts
 
-#: Bound of the sample of positives, and of unlabelled documents, that the model is fitted on.
+#: About the most positives (labelled rows) that the model is fitted on, and unlabelled documents that tell the curvature.
 MOST = 6000
-SEED, STEPS, BATCH, RATE, DECAY = 11, 1200, 1024, 0.01, 1e-3
+SEED, STEPS, DECAY = 11, 14, 0.1
+#: A step that moves no weight by more than this is the last.
+SMALL = 2e-3
 THRESHOLD = 0.7
 
 #: Kinds of bytes: one for each mark that is not a letter or digit, one each for a-z, A-Z, 0-9, other
@@ -108,57 +116,151 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None, steps: int = STEPS, seed: int = SEED) -> Linear:
-    """The model of least non-negative risk; without a prior, positives against unlabelled."""
-    rng = np.random.default_rng(seed)
-    both = np.concatenate([positive, unlabelled]).astype(np.float64)
-    mean, scale = both.mean(0), np.maximum(both.std(0), 1e-2)
-    p, u = (np.clip((x - mean) / scale, -6, 6) for x in (positive, unlabelled))
-    w, b = np.zeros(p.shape[1]), 0.0
-    m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
-    for step in range(1, steps + 1):
-        xp, xu = p[rng.integers(0, len(p), BATCH)], u[rng.integers(0, len(u), BATCH)]
-        zp, zu = xp @ w + b, xu @ w + b
-        # logistic loss: of +1 log(1 + exp(-z)), of -1 log(1 + exp(z)); their slopes
-        up, down, rest = -sigmoid(-zp) / len(zp), sigmoid(zp) / len(zp), sigmoid(zu) / len(zu)
-        if prior is None:
-            gp, gu = up, rest
-        else:
-            negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-            gp, gu = (prior * up - prior * down, rest) if negative >= 0 else (prior * down, -rest)
-        g = np.append(xp.T @ gp + xu.T @ gu + DECAY * w, gp.sum() + gu.sum())
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        move = RATE * (1 - step / steps * 0.9) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-        w, b = w - move[:-1], b - move[-1]
-    return Linear(mean, scale, w, float(b))
-
-
-def class_prior(positive: np.ndarray, unlabelled: np.ndarray, seed: int = SEED) -> float:
-    """The share of positives in the unlabelled sample."""
-    half = lambda x: (x[0::2], x[1::2])
-    (p1, p2), (u1, u2) = half(positive), half(unlabelled)
-    found = []
-    for a, b, c, d in ((p1, u1, p2, u2), (p2, u2, p1, u1)):
-        if not min(map(len, (a, b, c, d))):
+def summed(rows: DataFrame, figures) -> np.ndarray:
+    """The sum over tasks of figures(x), one vector for each block x of features. rows: x (16-bit floats), half."""
+
+    def one(it: Iterator[pa.RecordBatch]):
+        total = None
+        for batch in it:
+            if batch.num_rows:
+                own = figures(matrix(batch.column("x").to_pylist()), np.array(batch.column("half").to_pylist()))
+                total = own if total is None else total + own
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["v"])
+
+    def add(group: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"v": [sum(np.frombuffer(v) for v in group["v"]).tobytes()]})
+
+    # sums of a few tasks first, so that the driver adds at most 32
+    some = map_arrow(rows.select("x", "half"), one, "v binary").withColumn("few", F.pmod(F.spark_partition_id(), F.lit(32)))
+    got = [np.frombuffer(r["v"]) for r in some.groupBy("few").applyInPandas(add, "v binary").collect()]
+    return sum(sorted(got, key=lambda v: v.tobytes())) if got else np.zeros(1)
+
+
+def matrix(rows: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(rows), np.float16).reshape(len(rows), WIDTH).astype(np.float32)
+
+
+def scaled(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """Features around 0 with a last one of 1 for the bias."""
+    out = np.ones((len(x), x.shape[1] + 1), np.float32)
+    np.clip((x - mean.astype(np.float32)) / scale.astype(np.float32), -6, 6, out=out[:, :-1])
+    return out
+
+
+def negative_part(x: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, float]:
+    """The sums of the slopes and of the losses of calling every row negative."""
+    z = (x @ w.astype(np.float32)).astype(np.float64)
+    return (x.T @ sigmoid(z).astype(np.float32)).astype(np.float64), float(np.logaddexp(0, z).sum())
+
+
+def curvature(x: np.ndarray, w: np.ndarray, weight: float) -> np.ndarray:
+    s = sigmoid(x @ w)
+    return (x * (s * (1 - s) * (weight / max(1, len(x))))[:, None]).T @ x
+
+
+def step_of(w: np.ndarray, p: np.ndarray, slope_u: np.ndarray, loss_u: float, bend: np.ndarray, prior: float | None, decay: float = DECAY) -> np.ndarray:
+    """How w moves, from means over positives p and the unlabelled text's mean slope and loss.
+
+    Without a prior: positives against unlabelled text. With one: the non-negative risk; while its second term is
+    below 0 that term alone is raised.
+    """
+    ridge = np.full(len(w), decay)
+    ridge[-1] = 1e-6
+    z = p @ w
+    if prior is None:
+        slope = slope_u - p.T @ sigmoid(-z) / len(p)
+        bend = bend + curvature(p, w, 1.0)
+    elif loss_u - prior * np.logaddexp(0, z).mean() >= 0:
+        slope = slope_u - prior * p.mean(0)  # the slopes of R_p(+) and -R_p(-) add up to this
+    else:
+        return 0.2 * np.linalg.solve(bend + np.diag(ridge), slope_u - prior * (p.T @ sigmoid(z)) / len(p))
+    return -np.linalg.solve(bend + np.diag(ridge), slope + ridge * w)
+
+
+def risk(w: np.ndarray, p: np.ndarray, loss_u: float, prior: float | None, decay: float = DECAY) -> float:
+    """What is minimised, from the unlabelled text's mean loss."""
+    z = p @ w
+    ridge = 0.5 * (decay * float(w[:-1] @ w[:-1]) + 1e-6 * float(w[-1]) ** 2)
+    if prior is None:
+        return float(np.logaddexp(0, -z).mean()) + loss_u + ridge
+    return prior * float(np.logaddexp(0, -z).mean()) + max(0.0, loss_u - prior * float(np.logaddexp(0, z).mean())) + ridge
+
+
+def damped(move: np.ndarray, most: float = 2.0) -> np.ndarray:
+    return move * min(1.0, most / max(1e-12, float(np.abs(move).max())))
+
+
+def prior_of(above_p: np.ndarray, above_u: np.ndarray, n_p: int, n_u: int) -> float:
+    """The least ratio of the shares above a threshold; the margin of each share keeps small counts from winning."""
+    margin = np.sqrt(np.log(20) / 2 / n_p) + np.sqrt(np.log(20) / 2 / n_u)
+    ok = above_p > 0
+    best = int(np.argmin((above_u[ok] + margin) / above_p[ok]))
+    return float(above_u[ok][best] / above_p[ok][best])
+
+
+def fitted(rows: DataFrame, p: np.ndarray, sample: np.ndarray, halves: list[int | None], priors: list[float | None], mean: np.ndarray, scale: np.ndarray, p_half: np.ndarray) -> list[np.ndarray]:
+    """The weights of one model for each entry of halves (None: all rows), all trained in the same passes over rows."""
+    width = WIDTH + 1
+    weights = [np.zeros(width) for _ in halves]
+    mine = lambda x, half, h: x if h is None else x[half == h]
+    open_ = [True] * len(halves)
+    best = [(np.inf, w) for w in weights]
+    for _ in range(STEPS):
+        now = [w.copy() for w in weights]
+
+        def figures(x: np.ndarray, half: np.ndarray) -> np.ndarray:
+            x, out = scaled(x, mean, scale), []
+            for w, h in zip(now, halves):
+                own = mine(x, half, h)
+                slope, loss = negative_part(own, w)
+                out.append(np.concatenate([slope, [loss, len(own)]]))
+            return np.concatenate(out)
+
+        got = summed(rows, figures).reshape(len(halves), width + 2)
+        for i, (h, prior, one) in enumerate(zip(halves, priors, got)):
+            n = max(1.0, one[-1])
+            best[i] = min(best[i], (risk(weights[i], mine(p, p_half, h), one[-2] / n, prior), weights[i]), key=lambda x: x[0])
+            move = damped(step_of(weights[i], mine(p, p_half, h), one[:width] / n, one[-2] / n, curvature(sample, weights[i], 1.0), prior))
+            weights[i] = weights[i] + move
+            open_[i] = float(np.abs(move).max()) > SMALL
+        if not any(open_):
+            return weights
+    return [w for _, w in best]  # reversed steps go to and fro
+
+
+def class_prior(rows: DataFrame, p: np.ndarray, sample: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> float:
+    """The share of positives in the unlabelled text, from two discriminators, each tried on the half it has not seen."""
+    p_half = np.arange(len(p)) % 2
+    if len(p) < 2:
+        return 0.5
+    weights = fitted(rows, p, sample, [0, 1], [None, None], mean, scale, p_half)
+    other = [p[p_half != h] for h in (0, 1)]
+    cuts = [np.unique((x @ w.astype(np.float32)).astype(np.float64)) for x, w in zip(other, weights)]
+
+    def figures(x: np.ndarray, half: np.ndarray) -> np.ndarray:
+        x, out = scaled(x, mean, scale), []
+        for h, w, c in zip((0, 1), weights, cuts):
+            z = np.sort((x[half != h] @ w.astype(np.float32)).astype(np.float64))
+            out += [len(z) - np.searchsorted(z, c), [len(z)]]
+        return np.concatenate(out).astype(np.float64)
+
+    got, at, found = summed(rows, figures), 0, []
+    for x, w, c in zip(other, weights, cuts):
+        above_u, n_u = got[at : at + len(c)], got[at + len(c)]
+        at += len(c) + 1
+        if not n_u:
             return 0.5
-        model = fit(a, b, None, STEPS // 3, seed)
-        sp, su = np.sort(model.score(c)), np.sort(model.score(d))
-        at = np.unique(np.concatenate([sp, su]))
-        above = lambda s: 1 - np.searchsorted(s, at) / len(s)
-        qp, qu = above(sp), above(su)
-        margin = np.sqrt(np.log(20) / 2 / len(sp)) + np.sqrt(np.log(20) / 2 / len(su))
-        ok = qp > 0
-        bound = (qu[ok] + margin) / qp[ok]
-        best = int(np.argmin(bound))
-        found.append(qu[ok][best] / qp[ok][best])
+        z = np.sort((x @ w.astype(np.float32)).astype(np.float64))
+        found.append(prior_of((len(z) - np.searchsorted(z, c)) / len(z), above_u / n_u, len(z), int(n_u)))
     return float(np.clip(np.mean(found), 0.05, 0.98))
 
 
 def featured(docs: DataFrame) -> DataFrame:
-    """The text's features as 32-bit floats in a binary column, the other columns as they are."""
+    """The text's features as 16-bit floats in a binary column, the other columns as they are."""
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        x = pa.array([features(t).tobytes() for t in texts(batch)], pa.binary())
+        x = pa.array([features(t).astype(np.float16).tobytes() for t in texts(batch)], pa.binary())
         return pa.RecordBatch.from_arrays([*(batch.column(c) for c in batch.schema.names if c != "text"), x], names=[*(c for c in batch.schema.names if c != "text"), "x"])
 
     kinds = [f"{c} {t}" for c, t in docs.dtypes if c != "text"]
@@ -167,28 +269,31 @@ def featured(docs: DataFrame) -> DataFrame:
 
 def train(docs: DataFrame, labels: DataFrame, most: int = MOST, seed: int = SEED) -> tuple[Linear | None, float]:
     """The model, and the class prior it was fitted with. docs: doc_id, text; labels: doc_id, quality."""
-    known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("quality"))
-    ids = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    order = F.xxhash64(F.lit(seed), "doc_id")
-    first = lambda x: x.orderBy(order, "doc_id").limit(most)
-    positive = first(ids.join(known.where("quality = 1"), "doc_id", "left_semi")).withColumn("positive", F.lit(1))
-    rest = first(ids.join(known, "doc_id", "left_anti")).withColumn("positive", F.lit(0))
-    # at most 2 * most ids: bounded by the parameter
-    chosen = F.broadcast(positive.unionByName(rest))
-    sample = featured(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id"))
-    rows = sample.orderBy("doc_id", "x").toArrow()
-    if rows.num_rows == 0:
+    session_of(docs)
+    positive = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    n = positive.count()
+    if not n:
         return None, 0.5
-    x = np.frombuffer(b"".join(rows.column("x").to_pylist()), np.float32).reshape(rows.num_rows, WIDTH)
-    is_positive = np.array(rows.column("positive").to_pylist()) == 1
-    p, u = x[is_positive], x[~is_positive]
-    if len(p) and not len(u):  # every document has a label: labelled ones are the sample
-        again = featured(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(first(ids)), "doc_id")).orderBy("doc_id", "x").toArrow()
-        u = np.frombuffer(b"".join(again.column("x").to_pylist()), np.float32).reshape(again.num_rows, WIDTH)
-    if not len(p) or not len(u):
+    # most of them by a hash of the id: about that many, and so a table that can be told to all tasks
+    order = F.xxhash64(F.lit(seed), "doc_id").cast("double")
+    chosen = positive.where(order <= 2.0**64 * min(1.0, most / n) - 2.0**63).withColumn("positive", F.lit(1))
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id", "left")
+    half = F.pmod(F.xxhash64(F.lit(seed), "x"), F.lit(2)).cast("int")
+    rows = materialize(featured(plain).withColumn("half", half))
+    own = rows.where("positive = 1").groupBy("doc_id").agg(F.min("x").alias("x")).collect()
+    if not own:
         return None, 0.5
-    prior = class_prior(p, u, seed)
-    return fit(p, u, prior, seed=seed), prior
+    p = matrix([bytes(r["x"]) for r in sorted(own, key=lambda r: r["doc_id"])])
+    size = rows.count()
+    some = rows.where(F.xxhash64(F.lit(seed + 1), "x", "doc_id").cast("double") <= 2.0**64 * min(1.0, most / size) - 2.0**63).select("x").limit(4 * most).collect()
+    u = matrix(sorted(bytes(r["x"]) for r in some)) if some else p
+    got = summed(rows, lambda x, half: np.concatenate([x.sum(0, np.float64), (x.astype(np.float64) ** 2).sum(0)]))
+    mean = got[:WIDTH] / size
+    scale = np.maximum(np.sqrt(np.maximum(0, got[WIDTH:] / size - mean**2)), 1e-2)
+    p, u = scaled(p, mean, scale), scaled(u, mean, scale)
+    prior = class_prior(rows, p, u, mean, scale)
+    (w,) = fitted(rows, p, u, [None], [prior], mean, scale, np.zeros(len(p)))
+    return Linear(mean, scale, w[:-1], float(w[-1])), prior
 
 
 def classify(docs: DataFrame, model: Linear | None) -> DataFrame:
