@@ -9,12 +9,14 @@ network, one row per pattern and per source, is on the driver.
 A pattern's documents then give that many words: all documents give the whole repeats, and the rest
 comes from the documents whose seeded hash is under a threshold. The threshold is found by three
 histograms of 4096 buckets, each within the bucket that the one before has singled out, so no task sees
-more than its share of a hot pattern; what whole buckets leave open is filled by the largest documents
-that still fit, a few per pattern.
+more than its share of a hot pattern. The last bucket, in most cases one document, gives what is still open: each of its
+documents the same part of its words, so ties of hashes are no matter and a target is met to the word, or
+missed by less than one word for each document of that bucket.
 
 Cases: a null text has size 0; a null source is a source of its own, last in order; an empty table gives
-no rows; a document without sources gives nothing; repeated rows of one id share a decision; ties in size
-go to the larger hash. Documents of size 0 are taken 0 words. Extra columns are ignored.
+no rows; a document without sources gives nothing; repeated rows of one id share a decision, and so do null ids;
+documents of size 0 are taken 0 words; a very long text is one document as any other, taken in part if it stands at the
+threshold. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import documents, materialize, session_of
 
 WORDS = r"[^\x20\x09-\x0D]+"
-WEIGHTS, SHARE, REPEATS, SEED, FILLS = (5, 2, 1), 1.5, 2, 17, 6
+WEIGHTS, SHARE, REPEATS, SEED = (5, 2, 1), 1.5, 2, 17
 BITS, LEVELS = 12, 3
 #: Rows of a plan (one per pattern, some 200 bytes each) that are told to all tasks.
 TOLD = 10_000
@@ -133,40 +135,45 @@ def with_plan(rows: DataFrame, plan: list[tuple], schema: str) -> DataFrame:
     return rows.join(F.broadcast(table) if len(plan) <= TOLD else table, "key")
 
 
-def thresholds(rows: DataFrame, rest: dict[str, int]) -> dict[str, tuple[int, int]]:
-    """Per pattern the bound under which hashes are taken, and the words still open after that.
+def thresholds(rows: DataFrame, rest: dict[str, int]) -> dict[str, tuple[int, int, int]]:
+    """Per pattern the bucket of hashes at which the words run out: its first hash (smaller ones are taken), the words that
+    it still has to give, and the words that it has.
 
     rows: key, h (0 to 2**63 - 1), size. rest: words to find, under the pattern's size.
     """
-    at = {k: (0, r) for k, r in rest.items()}  # the bucket's first hash, words open from there
+    at = {k: (0, r, 0) for k, r in rest.items()}
     for level in range(1, LEVELS + 1):
         shift = 63 - BITS * level
         b = F.shiftright("h", shift)
-        now = with_plan(rows, [(k, lo >> (shift + BITS), r) for k, (lo, r) in at.items()], "key string, prefix long, rest long")
+        now = with_plan(rows, [(k, lo >> (shift + BITS), r) for k, (lo, r, _) in at.items()], "key string, prefix long, rest long")
         inside = now.where(F.shiftright("h", shift + BITS) == F.col("prefix")).select("key", "rest", b.alias("b"), "size")
         counts = inside.groupBy("key", "rest", "b").agg(F.sum("size").alias("words"))
         # at most 4096 buckets a key stand in one array
         lists = counts.groupBy("key", "rest").agg(F.sort_array(F.collect_list(F.struct("b", "words"))).alias("all"))
+        none = F.struct(F.col("rest").alias("open"), F.lit(None).cast("long").alias("stop"), F.lit(0).cast("long").alias("words"))
         step = F.aggregate(
             "all",
-            F.struct(F.col("rest").alias("open"), F.lit(None).cast("long").alias("stop")),
-            lambda a, x: F.when(a["stop"].isNotNull(), a).when(x["words"] > a["open"], F.struct(a["open"].alias("open"), x["b"].alias("stop"))).otherwise(F.struct((a["open"] - x["words"]).alias("open"), a["stop"].alias("stop"))),
+            none,
+            lambda a, x: F.when(a["stop"].isNotNull(), a)
+            .when(x["words"] > a["open"], F.struct(a["open"].alias("open"), x["b"].alias("stop"), x["words"].alias("words")))
+            .otherwise(F.struct((a["open"] - x["words"]).alias("open"), a["stop"].alias("stop"), a["words"].alias("words"))),
         )
-        for key, got in ((r["key"], r["got"]) for r in lists.select("key", step.alias("got")).collect()):
-            lo = at[key][0]
-            at[key] = (got["stop"] << shift, got["open"]) if got["stop"] is not None else (lo + (1 << (shift + BITS)), got["open"])
+        # a bucket has more words than are open, so one of its parts has more than is open then
+        at = {r["key"]: (r["got"]["stop"] << shift, r["got"]["open"], r["got"]["words"]) for r in lists.select("key", step.alias("got")).collect()}
     return at
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, repeats: int = REPEATS, seed: int = SEED) -> DataFrame:
+def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, repeats: int = REPEATS, seed: int = SEED, by: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """doc_id, size, source_size, target, copies, taken of every document.
 
-    docs: doc_id, size long, sources array<string>. source_size and target belong to the first source by
-    order (its only one, where sources do not overlap). taken = copies * size.
+    docs: doc_id, size long, sources array<string>, and the columns of by, whose seeded hash chooses. source_size and target
+    belong to the first source by order (its only one, where sources do not overlap). copies: how often the
+    whole document is taken; taken: the words, those of a document taken in part included.
     """
     session_of(docs)
-    h = F.xxhash64(F.lit(seed), F.col("doc_id")).bitwiseAND((1 << 63) - 1)
-    rows = materialize(docs.select("doc_id", F.to_json(F.array_sort(F.array_distinct("sources"))).alias("key"), F.array_sort(F.array_distinct("sources")).alias("pattern"), F.coalesce("size", F.lit(0)).cast("long").alias("size"), h.alias("h")))
+    h = F.xxhash64(F.lit(seed), *by).bitwiseAND((1 << 63) - 1)
+    pattern = F.array_sort(F.array_distinct("sources"))
+    rows = materialize(docs.select("doc_id", F.to_json(pattern).alias("key"), pattern.alias("pattern"), F.coalesce("size", F.lit(0)).cast("long").alias("size"), h.alias("h")))
     table = rows.groupBy("key", "pattern").agg(F.sum("size").alias("size")).collect()
     size_of = {r["key"]: int(r["size"]) for r in table}
     keys = {r["key"]: tuple(sorted(r["pattern"] or (), key=source_order)) for r in table}
@@ -180,32 +187,24 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, repeats: int = R
     whole = {k: words[k] // size_of[k] if size_of[k] else 0 for k in keys}
     rest = {k: words[k] - whole[k] * size_of[k] for k in keys}
     open_ = {k: r for k, r in rest.items() if r > 0}
-    bound: dict[str, tuple[int, int]] = thresholds(rows, open_) if open_ else {}
-    picks: dict[str, list[tuple[int, int]]] = {k: [] for k in keys}
-    gap = {k: g for k, (_, g) in bound.items() if g > 0}
-    for _ in range(FILLS):
-        if not gap:
-            break
-        now = with_plan(rows, [(k, bound[k][0], g, picks[k]) for k, g in gap.items()], "key string, bound long, gap long, picked array<struct<h:long,size:long>>")
-        free = now.where((F.col("size") > 0) & (F.col("size") <= F.col("gap")) & (F.col("h") >= F.col("bound")) & ~F.exists("picked", lambda x: x["h"] == F.col("h")))
-        best = {r["key"]: r["b"] for r in free.groupBy("key").agg(F.max(F.struct("size", "h")).alias("b")).collect()}
-        for k, b in best.items():
-            picks[k].append((b["h"], b["size"]))
-            gap[k] -= b["size"]
-        gap = {k: g for k, g in gap.items() if k in best and g > 0}
+    edge = thresholds(rows, open_) if open_ else {}
     first = {k: p[0] if p else None for k, p in keys.items()}
     all_ = with_plan(
         rows,
-        [(k, sources.get(first[k], 0), float(goal.get(first[k], 0.0)), whole[k], bound.get(k, (0, 0))[0], [x for x, _ in picks[k]]) for k in keys],
-        "key string, source_size long, target double, whole int, bound long, picked array<long>",
+        [(k, sources.get(first[k], 0), float(goal.get(first[k], 0.0)), whole[k], *edge.get(k, (0, 0, 1))) for k in keys],
+        "key string, source_size long, target double, whole int, bound long, open long, words long",
     )
-    copies = F.when(F.col("size") > 0, F.col("whole") + ((F.col("h") < F.col("bound")) | F.array_contains("picked", F.col("h"))).cast("int")).otherwise(0)
-    return all_.withColumn("copies", copies).select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    some = F.col("size") > 0
+    copies = F.when(some, F.col("whole") + (F.col("h") < F.col("bound")).cast("int")).otherwise(0)
+    last = (F.col("h") >= F.col("bound")) & (F.col("h") < F.col("bound") + (1 << (63 - BITS * LEVELS)))
+    part = F.when(some & last, F.expr("CAST(size AS DECIMAL(19,0)) * open div words")).otherwise(F.lit(0).cast("long"))
+    return all_.withColumn("copies", copies).select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size") + part).cast("long").alias("taken"))
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, size and sources of documents with one source each."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long").alias("size"), F.array(F.col("source").cast("string")).alias("sources"))
+def sized(docs: DataFrame, doc_id: str = "doc_id", *more: str) -> DataFrame:
+    """doc_id, size and sources of documents with one source each, and any columns more."""
+    size = F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), size.alias("size"), F.array(F.col("source").cast("string")).alias("sources"), *more)
 
 
 def op9_source_mix(spark, sf_dir: str) -> DataFrame:

@@ -52,7 +52,7 @@ def test_takes_near_targets_and_reruns_agree(spark):
     want = M.targets({s: sum(size[i] for i in ids) for s, ids in of.items()})
     for s, ids in of.items():
         assert all(first[i]["size"] == size[i] and first[i]["source_size"] == sum(size[j] for j in ids) and first[i]["target"] == pytest.approx(want[s]) for i in ids)
-        assert sum(first[i]["taken"] for i in ids) == pytest.approx(want[s], abs=40)
+        assert sum(first[i]["taken"] for i in ids) == pytest.approx(want[s], abs=2)
         assert all(first[i]["taken"] <= 2 * size[i] for i in ids)
 
 
@@ -62,3 +62,16 @@ def test_overlapping_sources_and_odd_tables(spark):
     assert len(got) == 102 and sum(r["taken"] for r in got) == pytest.approx(1.5 * 1007, rel=0.05)
     assert [r["taken"] for r in got if r["doc_id"] == 500] == [0]
     assert M.mix(docs.where(F.lit(False))).count() == 0
+
+
+def test_ties_and_a_very_long_text(spark):
+    # null ids share one hash, and stand at the threshold or not together; a long text may be taken in part
+    rows = [(None, 10, ["a"])] * 300 + [(i, 4, ["a"]) for i in range(100)] + [(7000, 500_000, ["b"]), (7001, 3, ["b"]), (7001, 3, ["b"])]
+    docs = spark.createDataFrame(rows, "doc_id long, size long, sources array<string>").repartition(3)
+    got = M.mix(docs).collect()
+    goal = M.targets({"a": 3400, "b": 500_006})
+    for s, ids in (("a", lambda i: i is None or i < 100), ("b", lambda i: i is not None and i >= 7000)):
+        own = [r for r in got if ids(r["doc_id"])]
+        assert sum(r["taken"] for r in own) == pytest.approx(goal[s], abs=301)
+        assert all(r["taken"] <= 2 * r["size"] and r["copies"] * r["size"] <= r["taken"] for r in own)
+    assert len({r["taken"] for r in got if r["doc_id"] is None}) == 1
