@@ -27,11 +27,21 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, rows_per_file: int = 0) -> DataFrame:
+def materialize(df: DataFrame) -> DataFrame:
     """Write df once to the shared folder and read it back, so lost executors cost no recomputation."""
     path = shared_folder(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found.folder = path
+    return found
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that materialize() wrote. Only for those of which all that follows is written itself."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

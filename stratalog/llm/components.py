@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -25,7 +25,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         lowest = down.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m"))
         two = F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))
         small = down.join(lowest, F.col("a") == F.col("node")).select(F.explode(two).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
-        now = materialize(small)
+        before, now = now, materialize(small)
+        discard(before, least)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(state) == seen:
             break

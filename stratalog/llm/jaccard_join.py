@@ -46,7 +46,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, map_arrow, materialize, session_of, texts
+from .common import discard, documents, map_arrow, materialize, session_of, texts
 from .components import components
 
 N = 5
@@ -137,7 +137,9 @@ def regions(rows: DataFrame, near: int) -> DataFrame:
     ranked = held.withColumns({"place": F.row_number().over(own.orderBy(F.desc("n"), "cell")), "all": F.count("*").over(own)}).join(size, "name")
     kept = materialize(ranked.where((F.col("all") >= need) & (F.col("place") >= need)).select("name", "cell"))
     first = kept.groupBy("cell").agg(F.min("name").alias("first"))
-    return components(kept.join(first, "cell").where("name <> first").select(F.col("name").alias("a"), F.col("first").alias("b")).distinct())
+    found = components(kept.join(first, "cell").where("name <> first").select(F.col("name").alias("a"), F.col("first").alias("b")).distinct())
+    discard(kept)
+    return found
 
 
 class Sets:
@@ -255,9 +257,10 @@ def join_region(sets: Sets, rows: np.ndarray, forest: Forest, near: int = NEAR,
         row, cell = voronoi(divide(sets, rows, forest, near, pivots), eps, FAR)
         parts = [rows[row[cell == c]] for c in np.unique(cell)]
         deepest = max(deepest, level + 1)
-        if max(map(len, parts)) <= 0.9 * len(rows):
+        # sets that are near many pivots stand in many cells: a division must leave clearly fewer pairs than there were
+        if sum(len(part) ** 2 for part in parts) <= 0.7 * len(rows) ** 2:
             todo += [(part, level + 1) for part in parts]
-        else:  # every set is near every pivot: no division helps
+        else:
             compare(sets, rows, forest, near)
     return deepest
 
@@ -401,12 +404,15 @@ def near_copies(docs: DataFrame, n: int = N, near: int = NEAR) -> DataFrame:
     """doc_id, n_shingles, component_id of every document. docs: doc_id, text."""
     session_of(docs)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = materialize(cells(docs, n, near))
+    wide = materialize(cells(docs, n, near))
+    rows = materialize(wide.drop("cells"))
     classes = rows.where("name IS NOT NULL").groupBy("name").agg(F.min("doc_id").alias("least"))
-    together = regions(rows, near).select(F.col("node").alias("name"), F.col("component").alias("region"))
+    together = regions(wide, near).select(F.col("node").alias("name"), F.col("component").alias("region"))
     wanted = classes.join(together, "name").select(F.col("least").alias("doc_id"), "name", "region")
+    discard(wide)
     sets = materialize(with_sets(docs, wanted, n))
     linked = components(links(sets, near)).select(F.col("node").alias("name"), "component")
+    discard(sets)
     group = classes.join(linked, "name", "left").withColumn("group", F.coalesce("component", "name"))
     least = group.groupBy("group").agg(F.min("least").alias("component_id"))
     named = group.join(least, "group").select("name", "component_id")

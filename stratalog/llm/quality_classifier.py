@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, each, held_out, map_arrow, materialize, session_of, texts
+from .common import discard, documents, each, held_out, map_arrow, materialize, session_of, texts
 
 #: About the most positives (labelled rows) that the model is fitted on, and unlabelled documents that tell the curvature.
 MOST = 6000
@@ -293,6 +293,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST, seed: int = SEED
     p, u = scaled(p, mean, scale), scaled(u, mean, scale)
     prior = class_prior(rows, p, u, mean, scale)
     (w,) = fitted(rows, p, u, [None], [prior], mean, scale, np.zeros(len(p)))
+    discard(rows)
     return Linear(mean, scale, w[:-1], float(w[-1])), prior
 
 

@@ -44,7 +44,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, map_arrow, materialize, session_of, texts
+from .common import discard, documents, map_arrow, materialize, session_of, texts
 
 #: The query removes what LENGTH bytes repeat, and reports beside it what PASSAGE bytes (some 35 words) repeat.
 LENGTH, PASSAGE = 400, 200
@@ -529,16 +529,20 @@ def suffix_dedup(docs: DataFrame, lengths: tuple[int, ...] = (LENGTH,), with_tex
     """
     session_of(docs)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = materialize(named(docs, lengths))
+    wide = materialize(named(docs, lengths))
+    rows = materialize(wide.drop("cores", "own"))
     reps = rows.groupBy(F.col("name").alias("rep")).agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
-    once = materialize(rows.join(reps, (F.col("name") == F.col("rep")) & F.col("doc_id").eqNullSafe(F.col("least"))).where(F.size("cores") > 0).select("name", "cores", "own").dropDuplicates(["name"]))
+    once = materialize(wide.join(reps, (F.col("name") == F.col("rep")) & F.col("doc_id").eqNullSafe(F.col("least"))).where(F.size("cores") > 0).select("name", "cores", "own").dropDuplicates(["name"]))
+    discard(wide)
     total = once.agg(F.sum(F.size("cores"))).first()[0] or 0
     often, told, most = counted(once.select(F.explode(F.concat("cores", "own")).alias("key"), F.lit(1).alias("n")), total)
     cores = materialize(repeated_cores(once.select("name", "cores"), often, told))
+    size = often.where(F.col("n") <= GROUP).agg(F.sum("n")).first()[0] or 0
+    discard(once, often)
     wanted = cores.join(reps, F.col("name") == F.col("rep")).select("rep", "least", "cores", "heavy")
     texts_ = squeezed(docs)
     kept = materialize(texts_.join(wanted, (texts_["name"] == wanted["rep"]) & texts_["doc_id"].eqNullSafe(wanted["least"])).select("name", "data", "cores", "heavy").dropDuplicates(["name"]))
-    size = often.where(F.col("n") <= GROUP).agg(F.sum("n")).first()[0] or 0
+    discard(cores)
     spans = covered(sorted_runs(kept.select("name", "data", "cores"), max(1, -(-size // RANGE)), lengths, told), lengths)
     if most > GROUP:
         spans = spans.unionByName(heavy_spans(kept.select("name", "data", "heavy"), lengths, told))
@@ -546,7 +550,7 @@ def suffix_dedup(docs: DataFrame, lengths: tuple[int, ...] = (LENGTH,), with_tex
     whole = lambda n: (F.col("copies") > 1) & (F.col("n_bytes") >= n)
     gone = cut(kept.select("name", "data").join(spans, "name"), lengths)
     gone = gone if with_text else gone.drop("kept")
-    all_ = rows.drop("cores", "own").join(reps, F.col("name") == F.col("rep")).drop("rep", "least").join(gone, "name", "left")
+    all_ = rows.join(reps, F.col("name") == F.col("rep")).drop("rep", "least").join(gone, "name", "left")
     columns = [
         F.col("doc_id"),
         F.col("n_bytes"),

@@ -117,6 +117,18 @@ def test_ordinary_documents_are_divided_by_set_pivots(spark):
     assert {forest.root(i) for i in range(200)} == {0}
 
 
+def test_sets_in_everyones_window_are_compared_once():
+    # all pairs at distances of some 0.3 to 0.4: near every pivot, yet not linked
+    rng = random.Random(9)
+    base = list(range(1000))
+    sets = [np.array(sorted([*rng.sample(base, 800), *rng.sample(range(1000, 9000), 20)]), np.uint64) for _ in range(400)]
+    calls, common = [], J.Sets.common
+    all_, forest = J.Sets(sets), J.Forest(400)
+    all_.common = lambda *a: calls.append(1) or common(all_, *a)
+    J.join_region(all_, np.arange(400), forest)
+    assert len(calls) < 2000 and not forest.links
+
+
 def test_a_very_long_text(spark):
     rng = random.Random(4)
     words = [f"w{rng.randint(0, 5000)}" for _ in range(60_000)]
