@@ -32,6 +32,8 @@ ORACLE_SQL = None
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the classifier accepts. Null and empty texts are scored as any other; repeated rows stay or go
+    together; without positives among the documents all stay."""
     model = learned(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     if model is None:
         return docs.select(*COLUMNS)
@@ -40,33 +42,42 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = materialize(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()))
-    groups = near_copies(rows.select(F.col("row").alias("doc_id"), "text")).withColumnRenamed("doc_id", "row")
+    """One row of each group of near copies: the smallest id, and of its rows the one of the smallest hash. Rows without an id stay."""
+    # rows are named by what they hold; rows that are equal in all columns are one
+    rows = docs.select(*COLUMNS).withColumn("row", F.xxhash64(*COLUMNS))
+    groups = near_copies(rows.select(F.col("row").alias("doc_id"), "text")).withColumnRenamed("doc_id", "row").distinct()
+    ids = rows.where("doc_id IS NOT NULL").groupBy("row", "doc_id").agg(F.count("*").alias("times"))
     # documents without words are copies of nothing but the rows of their own id
     empty = F.col("n_shingles") == 0
-    named = rows.where("doc_id IS NOT NULL").select("row", "doc_id").join(groups, "row")
-    group = named.select("row", "doc_id", empty.alias("empty"), F.when(empty, F.col("doc_id")).otherwise(F.col("component_id")).alias("group"))
-    first = group.groupBy("empty", "group").agg(F.min(F.struct("doc_id", "row")).alias("r")).select("r.row")
-    kept = rows.join(first, "row", "left_semi")
-    return kept.unionByName(rows.where("doc_id IS NULL")).select(*COLUMNS)
+    group = ids.join(groups, "row").select("row", "doc_id", "times", empty.alias("empty"), F.when(empty, F.col("doc_id")).otherwise(F.col("component_id")).alias("group"))
+    first = materialize(group.groupBy("empty", "group").agg(F.min(F.struct("doc_id", "row", "times")).alias("r")).select("r.row", "r.times"))
+    once = rows.join(first.where("times = 1"), "row", "left_semi")
+    more = rows.join(first.where("times > 1"), "row", "left_semi").dropDuplicates(["row"])
+    return once.unionByName(more).unionByName(rows.where("doc_id IS NULL")).select(*COLUMNS)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = materialize(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()))
-    cut = suffix_dedup(rows.select(F.col("row").alias("doc_id"), "text"), (PASSAGE,), with_text=True).where("n_removed > 0").select(F.col("doc_id").alias("row"), "kept")
+    """The documents without the bytes that strings of PASSAGE bytes cover which also start elsewhere. Null texts stay null;
+    of texts that are equal as a whole and long enough nothing is left, and they go."""
+    rows = docs.select(*COLUMNS).withColumn("row", F.xxhash64("text"))
+    found = suffix_dedup(rows.select(F.col("row").alias("doc_id"), "text"), (PASSAGE,), with_text=True)
+    cut = found.where("n_removed > 0").select(F.col("doc_id").alias("row"), "kept").dropDuplicates(["row"])
     text = F.coalesce("kept", "text")
     new = rows.join(cut, "row", "left").withColumn("text", text).withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long"))
     return new.where(F.col("kept").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*COLUMNS)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = materialize(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()))
-    taken = mix(sized(rows.drop("doc_id").withColumnRenamed("row", "doc_id"))).select(F.col("doc_id").alias("row"), "copies").where("copies > 0")
+    """Documents as often as the mix takes them whole. The choice follows from id and text, not from where a row lies;
+    rows that are equal in both are taken or left together. Null texts weigh nothing and are never taken."""
+    rows = docs.select(*COLUMNS).withColumn("row", F.xxhash64("doc_id", "text", "source"))
+    taken = mix(sized(rows, "row")).select(F.col("doc_id").alias("row"), "copies").where("copies > 0").dropDuplicates(["row"])
     again = rows.join(taken, "row").withColumn("copy", F.explode(F.sequence(F.lit(1), "copies")))
     return again.select(*COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and digests of every row; a null text has no ids."""
     return digests(docs)
 
 
