@@ -8,14 +8,16 @@ at the window's first step: truncated backpropagation) and in scoring.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from itertools import chain, islice
 
 import numpy as np
 
-HIDDEN, CLASSES, STEPS, LANES = 20, 32, 16, 48
-RATE = 0.12
+HIDDEN, CLASSES, STEPS, LANES = 16, 32, 16, 192
+RATE = 0.3
+#: Words that are dealt to lanes at a time.
+DEALT = 1_000_000
 
 
 @dataclass
@@ -163,45 +165,55 @@ class Trainer:
         self.sums[key][at] += g * g
         self.p[key][at] -= self.rate * g / np.sqrt(self.sums[key][at])
 
-    def train(self, docs: Iterable[np.ndarray], lanes: int = LANES, steps: int = STEPS) -> None:
-        """One pass over docs, which may be a stream. A lane takes the next document when its last one ends."""
-        feed = (d for d in docs if len(d))
-        first = list(islice(feed, lanes))
-        lanes = len(first)
-        if not lanes:
-            return
-        n = self.p["k"].shape[0]
-        h = np.zeros((lanes, n), np.float32)
-        doc: list = [None] * lanes
-        at = [0] * lanes
-        feed = chain(first, feed)
-        while True:
-            x = np.full((steps, lanes), self.end, np.int64)
-            y = np.full((steps, lanes), -1, np.int64)
-            for i in range(lanes):
-                if doc[i] is None:
-                    doc[i], at[i] = next(feed, None), 0
-                    h[i] = 0
-                if doc[i] is None:
-                    continue
-                part = doc[i][at[i] : at[i] + steps]
-                y[: len(part), i] = part
-                x[0, i] = doc[i][at[i] - 1] if at[i] else self.end
-                x[1 : len(part), i] = part[:-1]
-                at[i] += steps
-                if at[i] >= len(doc[i]):
-                    doc[i] = None
-            if not (y >= 0).any():
-                return
-            h = self.window(x, y, h)
-
-    def window(self, x: np.ndarray, y: np.ndarray, h: np.ndarray) -> np.ndarray:
+    def train(self, docs: Iterable[np.ndarray], lanes: int = LANES, steps: int = STEPS, dealt: int = DEALT) -> None:
+        """One pass over docs, which may be a stream. Documents follow each other in a lane, each from an empty state."""
+        held, size = [], 0
+        for d in docs:
+            if len(d):
+                held.append(d)
+                size += len(d)
+                if size >= dealt:
+                    self.deal(held, lanes, steps)
+                    held, size = [], 0
+        self.deal(held, lanes, steps)
+
+    def deal(self, docs: list[np.ndarray], lanes: int, steps: int) -> None:
+        """Train on docs side by side in lanes of like lengths: longest documents first, each to the shortest lane."""
+        heap = [(0, i) for i in range(min(lanes, len(docs)))]
+        dealt: list[list[np.ndarray]] = [[] for _ in heap]
+        for d in sorted(docs, key=len, reverse=True):
+            size, i = heap[0]
+            dealt[i].append(d)
+            heapq.heapreplace(heap, (size + len(d), i))
+        dealt.sort(key=lambda own: -sum(map(len, own)))
+        target = [np.concatenate(own) for own in dealt]
+        source, keep = [], []
+        for own, y in zip(dealt, target):
+            starts = np.cumsum([0, *map(len, own[:-1])])
+            x, k = np.roll(y, 1), np.ones(len(y), np.float32)
+            x[starts], k[starts] = self.end, 0
+            source.append(x)
+            keep.append(k)
+        sizes = [len(y) for y in target]
+        h = np.zeros((len(target), self.p["k"].shape[0]), np.float32)
+        for at in range(0, sizes[0] if sizes else 0, steps):
+            live = sum(n > at for n in sizes)
+            x = np.full((steps, live), self.end, np.int64)
+            y = np.full((steps, live), -1, np.int64)
+            k = np.ones((steps, live), np.float32)
+            for i in range(live):
+                n = min(steps, sizes[i] - at)
+                x[:n, i], y[:n, i], k[:n, i] = source[i][at : at + n], target[i][at : at + n], keep[i][at : at + n]
+            h = self.window(x, y, h[:live], k)
+
+    def window(self, x: np.ndarray, y: np.ndarray, h: np.ndarray, keep: np.ndarray | None = None) -> np.ndarray:
+        """One update from x (inputs), y (words to foretell, -1: none) and the states before; keep is 0 where a document begins."""
         p, shape, n = self.p, self.shape, h.shape[1]
         kept, states = [], []
         inputs = p["x"][x]
         inputs += p["b"]
-        for a in inputs:
-            h, k = after(p, a, h)
+        for t, a in enumerate(inputs):
+            h, k = after(p, a, h if keep is None else h * keep[t][:, None])
             kept.append(k)
             states.append(h)
         words = y.reshape(-1)
@@ -241,6 +253,8 @@ class Trainer:
             dg = np.concatenate([d * (c - before), drh * before], 1) * gates * (1 - gates)
             da[t, :, : 2 * n], da[t, :, 2 * n :] = dg, dc
             back = d * (1 - z) + drh * r + dg @ ut
+            if keep is not None:
+                back *= keep[t][:, None]
         flat_a = da.reshape(-1, 3 * n)
         du = np.concatenate([k[0] for k in kept]).T @ flat_a[:, : 2 * n]
         dk = np.concatenate([k[2] for k in kept]).T @ flat_a[:, 2 * n :]

@@ -1,19 +1,23 @@
 """Log-likelihood of whole documents under a gated recurrent language model.
 
 Word counts cover every training document; tasks count their own words first, so the shuffle carries each word
-once per task. The VOCABULARY most frequent words are the model's, the FREQUENT most frequent ones
-are told to all tasks (both bounded); all others are looked up by a join.
+once per task. The VOCABULARY most frequent words are the model's; at most about FREQUENT frequent ones
+are told to all tasks (both bounded); all others are looked up by a join. Every document is turned into the model's
+numbers once, and these are written for training and scoring.
 
-Training is one pass over every training document, in ROUNDS. The corpus has PARTS parts by hash, and every part belongs to
-one round: in it each task trains on its own documents of the round's parts from the common weights, and the tasks'
-weights are averaged by the words they saw. Weights have a fixed size whatever the corpus.
+Training is one pass over every training document. The corpus is dealt to shards of about SHARD words by a hash of
+id and text, and shards to at most ROUNDS rounds: in a round each shard is trained on by itself from the common weights, its
+documents in the order of their hashes, and the shards' weights are averaged by the words they saw, in the order of shards.
+So the weights do not depend on how documents lie in files and tasks. Weights have a fixed size whatever the corpus; a
+shard has a bounded size, and their number grows with the corpus.
 
 A document's score is the sum over its words, the end included, of log10 p(class | state) plus, for a word of
 the vocabulary, log10 p(word | class, state), and for any other word log10 of its share among the words outside
 the vocabulary by smoothed counts. Words never seen are one event of the smoothed counts, as in the base score.
 
 Cases: a null or empty text has its end only; null ids count as an empty text for the fold; repeated rows
-are scored each; without training documents all scores are 0 (one event with probability 1); an empty
+are scored each, and each trains; a very long text is one lane of its own beside others, its state carried throughout; ties
+in frequency go to the smaller word; without training documents all scores are 0 (one event with probability 1); an empty
 table gives no rows. Extra columns are ignored.
 """
 
@@ -32,9 +36,10 @@ from . import gru
 from .common import documents, held_out, map_arrow, materialize, session_of, texts
 
 VOCABULARY, FREQUENT = 2048, 131_072
-PARTS, ROUNDS = 20, 3
-#: Words that a task counts before it hands the counts on, words it scores and trains on at a time.
-COUNTED, SCORED, TRAINED = 400_000, 1_500_000, 400_000
+#: Words of a shard, about, and rounds of training over different shards.
+SHARD, ROUNDS = 2_000_000, 3
+#: Words that a task counts before it hands the counts on, and words it scores at a time.
+COUNTED, SCORED = 400_000, 1_500_000
 END = b""
 SMOOTH = 0.1
 
@@ -90,111 +95,126 @@ class Lexicon:
 
 
 def lexicon(counts: DataFrame, v: int, frequent: int) -> Lexicon:
+    """The words of the highest counts: whole classes of like counts while they fit into frequent, and the v first at least."""
     n = counts.agg(F.sum("c"), F.count("*")).first()
-    top = counts.orderBy((F.col("word") == END).desc(), F.desc("c"), "word").limit(frequent).toArrow()
-    pairs = sorted(zip(top.column("c").to_pylist(), top.column("word").to_pylist()), key=lambda x: (x[1] != END, -x[0], x[1]))
-    return Lexicon([w for _, w in pairs], [c for c, _ in pairs], n[0] or 0, n[1], v)
+    level = F.floor(F.log2("c") * 16).cast("int")
+    # a few hundred rows whatever the corpus
+    sizes = sorted(((r["level"], r["n"]) for r in counts.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect()), reverse=True)
+    least, held = 1 << 30, 0
+    for at, size in sizes:
+        if held + size > frequent:
+            break
+        least, held = at, held + size
+    is_end = F.col("word") == END
+    found = counts.where((level >= least) | is_end).collect()
+    missing = min(v, n[1]) - len(found)
+    if missing > 0:
+        found += counts.where((level < least) & ~is_end).orderBy(F.desc("c"), "word").limit(missing).collect()
+    pairs = sorted(((bytes(r["word"]), r["c"]) for r in found), key=lambda x: (x[0] != END, -x[1], x[0]))
+    return Lexicon([w for w, _ in pairs], [c for _, c in pairs], n[0] or 0, n[1], v)
+
+
+def mapped(docs: DataFrame, lex: Lexicon) -> DataFrame:
+    """One row per document: ids (the model's numbers as 16-bit integers), sums over the told words, and the other words
+    with their numbers. docs: doc_id, text, held_out."""
+    shared = docs.sparkSession.sparkContext.broadcast(lex)
+    other = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int32())]))
+    kind = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("part", pa.float64()), ("others", other), ("ids", pa.binary())])
 
+    def one(it: Iterator[pa.RecordBatch]):
+        words = shared.value
+        for batch in it:
+            rows = []
+            for row, doc_id, held, t in zip(*(batch.column(c).to_pylist() for c in ("row", "doc_id", "held_out")), texts(batch)):
+                own = words_of(t)
+                found = words.find(own)
+                told = found[found >= 0]
+                rest = found[found >= words.v]
+                unknown = Counter(own[i] for i in np.flatnonzero(found < 0).tolist())
+                base = words.base[told]
+                # words outside the vocabulary: their share of that class; what is not told is added after the join
+                part = float(words.base[rest].sum()) - words.rest * (len(rest) + unknown.total())
+                rows.append((row, doc_id, held, len(own), len(told), float(base.sum()), part, [{"word": w, "n": n} for w, n in unknown.items()], words.model(found).astype("<i2").tobytes()))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), kind)], schema=kind)
 
-def long_first(held: list[np.ndarray]) -> list[np.ndarray]:
-    """Long documents first, the others in their order, so that no lane is left alone with a long one at the end."""
-    return sorted(held, key=lambda d: -(len(d) // 1024))
+    kinds = "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, part double, others array<struct<word:binary,n:int>>, ids binary"
+    return map_arrow(docs.withColumn("row", F.monotonically_increasing_id()), one, kinds)
 
 
-def trained(docs: DataFrame, lex: Lexicon, parts: int, rounds: int) -> dict[str, np.ndarray]:
-    """The model's weights after all rounds. docs: doc_id, text, held_out."""
-    spark = docs.sparkSession
+def trained(rows: DataFrame, lex: Lexicon, shard: int, rounds: int) -> dict[str, np.ndarray]:
+    """The model's weights after all rounds. rows: row, doc_id, held_out, ids."""
+    spark = rows.sparkSession
     weights = gru.initial(lex.counts[: lex.v], lex.outside, lex.shape)
     names = sorted(weights)
-    part = F.pmod(F.xxhash64(F.lit(23), "doc_id", F.length("text")), F.lit(parts))
+    shards = max(1, -(-int(lex.total) // shard))
+    rounds = min(rounds, shards)
+    # a row without an id is dealt by its place, so that copies without ids do not meet in one shard
+    order = F.xxhash64(F.lit(23), F.coalesce("doc_id", "row"), "ids")
+    dealt = rows.where("NOT held_out").select("ids", order.alias("order"), F.pmod(order, F.lit(shards)).alias("shard"))
+    kind = "name string, shard long, n long, w binary"
+
+    def add(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("shard")
+        total = sum(np.frombuffer(w, "<f8") for w in group["w"])
+        return pd.DataFrame({"name": [group["name"].iloc[0]], "shard": [group["shard"].iloc[0]], "n": [int(group["n"].sum())], "w": [total.tobytes()]})
+
     for r in range(rounds):
-        shared = spark.sparkContext.broadcast((weights, lex))
-
-        def train(it: Iterator[pa.RecordBatch]):
-            start, words = shared.value
-            trainer = gru.Trainer(start, words.shape, 1)
-
-            def stream():
-                held, size = [], 0
-                for batch in it:
-                    for t in texts(batch):
-                        held.append(words.model(words.find(words_of(t))))
-                        size += len(held[-1])
-                        if size >= TRAINED:
-                            yield from long_first(held)
-                            held, size = [], 0
-                yield from long_first(held)
-
-            trainer.train(stream())
-            if trainer.words:
-                rows = [(name, trainer.words, (trainer.p[name].astype(np.float64) * trainer.words).astype("<f4").tobytes()) for name in names]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.string(), pa.int64(), pa.binary()))], names=["name", "n", "w"])
-
-        def add(group: pd.DataFrame) -> pd.DataFrame:
-            total = sum(np.frombuffer(w, "<f4").astype(np.float64) for w in group["w"])
-            return pd.DataFrame({"name": [group["name"].iloc[0]], "n": [int(group["n"].sum())], "w": [total.astype("<f4").tobytes()]})
-
-        mine = docs.where(~F.col("held_out") & (part % rounds == r)).select("text")
-        kind = "name string, n long, w binary"
-        # sums of a few tasks first, then of those: no task adds more than the square root of all
-        some = map_arrow(mine, train, kind).withColumn("few", F.pmod(F.spark_partition_id(), F.lit(32)))
-        sums = some.groupBy("name", "few").applyInPandas(lambda g: add(g), kind).groupBy("name").applyInPandas(lambda g: add(g), kind)
+        shared = spark.sparkContext.broadcast((weights, lex.shape))
+
+        def train(group: pd.DataFrame) -> pd.DataFrame:
+            start, shape = shared.value
+            trainer = gru.Trainer(start, shape, 1)
+            trainer.train(np.frombuffer(x, "<i2") for x in group.sort_values("order", kind="stable")["ids"])
+            one = int(group["shard"].iloc[0])
+            return pd.DataFrame([(name, one, trainer.words, (trainer.p[name].astype("<f8") * trainer.words).tobytes()) for name in names], columns=["name", "shard", "n", "w"])
+
+        some = dealt.where(F.col("shard") % rounds == r).groupBy("shard").applyInPandas(lambda g: train(g), kind)
+        # sums of a few shards first, then of those: no task adds more than the square root of all
+        few = F.pmod(F.floor(F.col("shard") / rounds), F.lit(32))
+        sums = some.withColumn("few", few).groupBy("name", "few").applyInPandas(lambda g: add(g), kind).groupBy("name").applyInPandas(lambda g: add(g), kind)
         got = sums.collect()
         if got:
-            weights = {x["name"]: (np.frombuffer(x["w"], "<f4") / x["n"]).astype(np.float32).reshape(weights[x["name"]].shape) for x in got}
+            weights = {x["name"]: (np.frombuffer(x["w"], "<f8") / x["n"]).astype(np.float32).reshape(weights[x["name"]].shape) for x in got}
         shared.unpersist()
     return weights
 
 
-def scored(docs: DataFrame, lex: Lexicon, weights: dict[str, np.ndarray]) -> DataFrame:
-    """One row per document with sums over the told words, and the other words with their numbers."""
-    shared = docs.sparkSession.sparkContext.broadcast((weights, lex))
-    other = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int32())]))
-    kind = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("part", pa.float64()), ("others", other)])
+def scored(rows: DataFrame, lex: Lexicon, weights: dict[str, np.ndarray]) -> DataFrame:
+    """row and model: log10 of the model's probability of each document's numbers. rows: row, ids."""
+    shared = rows.sparkSession.sparkContext.broadcast((weights, lex.shape))
 
     def score(it: Iterator[pa.RecordBatch]):
-        p, words = shared.value
-        rows: list[tuple] = []
+        p, shape = shared.value
+        names: list[int] = []
         ids: list[np.ndarray] = []
         size = 0
 
         def flush():
-            got = gru.score(p, words.shape, ids, 1) / np.log(10) if words.v else np.zeros(len(ids))
-            full = [(*r[:6], r[6] + g, r[7]) for r, g in zip(rows, got)]
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*full), kind)], schema=kind)
+            got = gru.score(p, shape, ids, 1) / np.log(10) if p else np.zeros(len(ids))
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(got, pa.float64())], names=["row", "model"])
 
         for batch in it:
-            for row, doc_id, held, t in zip(*(batch.column(c).to_pylist() for c in ("row", "doc_id", "held_out")), texts(batch)):
-                own = words_of(t)
-                found = words.find(own)
-                model = words.model(found).astype(np.int16)
-                told = found[found >= 0]
-                rest = found[found >= words.v]
-                base = words.base[told]
-                unknown = Counter(own[i] for i in np.flatnonzero(found < 0).tolist())
-                # words outside the vocabulary: their share of that class; what is not told is added after the join
-                part = float(words.base[rest].sum()) - words.rest * (len(rest) + unknown.total())
-                rows.append((row, doc_id, held, len(own), len(told), float(base.sum()), part, [{"word": w, "n": n} for w, n in unknown.items()]))
-                ids.append(model)
-                size += len(own)
+            names += batch.column("row").to_pylist()
+            ids += [np.frombuffer(x, "<i2") for x in batch.column("ids").to_pylist()]
+            size = sum(map(len, ids))
             if size >= SCORED:
                 yield flush()
-                rows, ids, size = [], [], 0
-        if rows:
+                names, ids = [], []
+        if names:
             yield flush()
 
-    kinds = "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, part double, others array<struct<word:binary,n:int>>"
-    return map_arrow(docs.withColumn("row", F.monotonically_increasing_id()), score, kinds)
+    return map_arrow(rows.select("row", "ids"), score, "row long, model double")
 
 
-def lm_scores(docs: DataFrame, vocabulary: int = VOCABULARY, frequent: int = FREQUENT, parts: int = PARTS, rounds: int = ROUNDS) -> DataFrame:
+def lm_scores(docs: DataFrame, vocabulary: int = VOCABULARY, frequent: int = FREQUENT, shard: int = SHARD, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. docs: doc_id, text, held_out."""
     session_of(docs)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "held_out")
     counts = materialize(word_counts(docs))
     lex = lexicon(counts, vocabulary, frequent)
-    weights = trained(docs, lex, parts, rounds) if lex.v else {}
-    rows = materialize(scored(docs, lex, weights))
+    rows = materialize(mapped(docs, lex))
+    weights = trained(rows, lex, shard, rounds) if lex.v else {}
     told = F.lit(float(np.log10(lex.total + SMOOTH * (lex.distinct + 1))))
     others = rows.select("row", F.explode("others").alias("o")).select("row", "o.word", "o.n")
     looked = others.join(counts, "word", "left").groupBy("row").agg(
@@ -202,14 +222,15 @@ def lm_scores(docs: DataFrame, vocabulary: int = VOCABULARY, frequent: int = FRE
         F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("seen"),
     )
     more = F.coalesce("more", F.lit(0.0))
-    return rows.drop("others").join(looked, "row", "left").select(
+    all_ = rows.drop("others", "ids").join(scored(rows, lex, weights), "row").join(looked, "row", "left")
+    return all_.select(
         "doc_id",
         "held_out",
         "n_tokens",
         (F.col("known") + F.coalesce("seen", F.lit(0))).alias("n_known"),
         F.lit(lex.total).cast("long").alias("train_tokens"),
         (F.col("base") + more).alias("base_score"),
-        (F.col("part") + more if lex.v else F.col("base") + more).alias("score"),
+        (F.col("part") + F.col("model") + more if lex.v else F.col("base") + more).alias("score"),
     )
 
 

@@ -34,7 +34,7 @@ def rows(spark, docs, **kw):
 
 def test_base_score_and_a_better_model(spark):
     docs = corpus(1)
-    got = rows(spark, docs, vocabulary=60, frequent=100, parts=2, rounds=2)
+    got = rows(spark, docs, vocabulary=60, frequent=100, shard=4000, rounds=2)
     out = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i in range(len(docs))}
     c = Counter(w for i, t in enumerate(docs) if not out[i] for w in tokens(t))
     n, v = sum(c.values()), len(c)
@@ -102,13 +102,65 @@ def test_gradients(monkeypatch):
             assert (up - down) / 2e-5 == pytest.approx(g[at], abs=1e-4), key
 
 
-def test_training_covers_every_part(spark):
-    # all training documents lie in the parts 3 to 19, none of them in the first three
+def test_weights_and_scores_do_not_depend_on_the_layout(spark):
+    docs = corpus(3, 120)
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").withColumn("held_out", held_out("doc_id", 10, 0))
+    kw = {"vocabulary": 60, "frequent": 100, "shard": 1500, "rounds": 3}
+    one, two = ({r["doc_id"]: r["score"] for r in L.lm_scores(df.repartition(n), **kw).collect()} for n in (1, 6))
+    assert all(one[i] == pytest.approx(two[i], abs=1e-3) for i in one)
+
+
+def test_score_is_that_of_a_plain_pass_word_by_word(spark, monkeypatch):
+    """Rare, unseen and frequent words of a long text, one number at a time in plain Python floats."""
+    docs = corpus(2, 60) + [" ".join(f"a{i % 40}" if i % 7 else f"new{i}" for i in range(3000)) + " only3 only4"]
+    kept = {}
+    train = L.trained
+    monkeypatch.setattr(L, "trained", lambda rows, lex, *a: kept.setdefault("p", (train(rows, lex, *a), lex))[0])
+    got = rows(spark, docs, vocabulary=30, frequent=50)
+    p, lex = kept["p"]
+    out = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i in range(len(docs))}
+    c = Counter(w for i, t in enumerate(docs) if not out[i] for w in tokens(t))
+    share = lambda w: (c[w] + 0.1) / (sum(c.values()) + 0.1 * (len(c) + 1))
+    names = {(w.decode() or None): i + 1 for i, w in enumerate(lex.words[: lex.v])}
+    inside = sum(share(w) for w in names)
+    f = {k: v.astype(float) for k, v in p.items()}
+    n = f["k"].shape[0]
+    for i in (0, 2, 5, 9, len(docs) - 1):
+        h, last, total = np.zeros(n), names[None], 0.0
+        for w in tokens(docs[i]):
+            a = f["x"][last] + f["b"]
+            z, r = np.split(1 / (1 + np.exp(-(a[: 2 * n] + h @ f["u"]))), 2)
+            h = h + z * (np.tanh(a[2 * n :] + (r * h) @ f["k"]) - h)
+            last = names.get(w, 0)
+            classes = np.exp(h @ f["wc"] + f["bc"])
+            kind = lex.shape.word_class[last]
+            total += math.log10(classes[kind] / classes.sum())
+            if last:
+                s, e = lex.shape.starts[kind - 1], lex.shape.starts[kind]
+                own = np.exp(h @ f["wo"][:, s:e] + f["bo"][s:e])
+                total += math.log10(own[last - 1 - s] / own.sum())
+            else:
+                total += math.log10(share(w) / (1 - inside))
+        assert got[i]["score"] == pytest.approx(total, rel=2e-4, abs=2e-3), i
+
+
+def test_lanes_take_every_word_once():
+    counts = np.array([9.0, 5, 4, 2, 2, 1])
+    shape = gru.Shape.of(counts, 3)
+    rng = np.random.default_rng(3)
+    docs = [rng.integers(0, 7, n) for n in (0, 1, 5, 200, 33, 70, 64, 2)]
+    trainer = gru.Trainer(gru.initial(counts, 3.0, shape, 4), shape, 1)
+    seen, begun, window = [], [], trainer.window
+    trainer.window = lambda x, y, h, keep: (seen.append(y[y >= 0]), begun.append(int((keep == 0).sum())), window(x, y, h, keep))[-1]
+    trainer.train(docs, 3, 8, 150)
+    assert Counter(np.concatenate(seen).tolist()) == Counter(np.concatenate(docs).tolist())
+    assert sum(begun) == 7 and trainer.words == sum(map(len, docs))
+
+
+def test_every_document_trains(spark):
+    # many shards and three rounds: what only late shards hold is learned too
     words = [f"w{i}" for i in range(30)]
     text = F.concat_ws(" ", *(F.lit(words[(7 * j) % 30]) for j in range(60)))
-    all_ = spark.range(400).select(F.col("id").alias("doc_id"), text.alias("text"))
-    part = F.pmod(F.xxhash64(F.lit(23), "doc_id", F.length("text")), F.lit(L.PARTS))
-    late = all_.where((part >= 3) & (F.col("doc_id") > 0)).withColumn("held_out", F.lit(False))
-    docs = late.unionByName(all_.where("doc_id = 0").withColumn("held_out", F.lit(True))).repartition(2)
-    (unseen,) = L.lm_scores(docs).where("held_out").collect()
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), text.alias("text"), (F.col("id") == 0).alias("held_out")).repartition(2)
+    (unseen,) = L.lm_scores(docs, shard=3000).where("held_out").collect()
     assert unseen["score"] > unseen["base_score"] + 10
