@@ -17,12 +17,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Pieces kept by a worker, about 80 MB.
-KEPT = 400_000
+#: Pieces of a generation that a worker keeps; two generations are about 120 MB.
+KEPT = 300_000
 #: Marks that may follow a plain word.
 MARKS = ".,!?;:"
-#: A blank that is not alone between two words (a pattern of Arrow).
-UNEVEN = r"[\s\x0b\x1c-\x1f\x85\p{Z}] | [\s\x0b\x1c-\x1f\x85\p{Z}]|^ | $"
+#: A blank that is alone between two words.
 BETWEEN = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -64,13 +63,19 @@ class Words:
 
     def __init__(self, path: str, width: int) -> None:
         self.path, self.kind = path, {2: "H", 4: "I"}[width]
-        self.first: dict[str, bytes] = {}  # as a text begins
-        self.next: dict[str, bytes] = {}  # after a blank
+        # ids of words as a text begins and after a blank: those used lately, and those of the generation before
+        self.first: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
+        self.next: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
 
-    def learn(self, store: dict[str, bytes], words: set[str], before: str) -> None:
+    def learn(self, stores: tuple[dict[str, bytes], dict[str, bytes]], words: set[str], before: str) -> tuple[dict[str, bytes], dict[str, bytes]]:
+        """The stores with all words in the first one. A full one becomes the generation before."""
+        store, old = stores if len(stores[0]) <= KEPT else ({}, stores[0])
         tokenize, kind, rest, marks = tokenizer(self.path).model.tokenize, self.kind, [], {}
         ahead = LETTERS[32] if before else ""
-        for w in words - store.keys():
+        new = words - store.keys()
+        known = new & old.keys()
+        store.update((w, old[w]) for w in known)
+        for w in new - known:
             core = w if w.isalpha() else w.rstrip(MARKS)
             if not core.isalpha() or not (w.isascii() or max(core) <= "\xff"):
                 rest.append(w)
@@ -86,28 +91,36 @@ class Words:
             part = rest[i : i + 1000]
             for w, ids in zip(part, encoded(self.path, [before + w for w in part])):
                 store[w] = array(kind, ids).tobytes()
+        return store, old
+
+    @staticmethod
+    def flat(lists: pa.ListArray) -> tuple[pa.Array, np.ndarray, pa.DictionaryArray]:
+        """All words in a row, where each text's begin and end, and the different words."""
+        words = lists.flatten()
+        ends = np.append(0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))).astype(np.int64)
+        return words, ends, words.dictionary_encode()
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text; null is empty. Each different word of the batch is looked up once."""
-        if len(self.first) + len(self.next) > KEPT:
-            self.first, self.next = {}, {}
         kind = np.dtype("<u2" if self.kind == "H" else "<u4")
         texts = pc.fill_null(texts, "")
         lists = pc.split_pattern(texts, " ")
-        uneven = np.flatnonzero(pc.match_substring_regex(texts, UNEVEN).to_numpy(zero_copy_only=False))
-        if len(uneven):
-            words = lists.to_pylist()
-            for i in uneven.tolist():
-                words[i] = BETWEEN.split(texts[i].as_py())
-            lists = pa.array(words, pa.list_(pa.string()))
-        words = lists.flatten()
-        ends = np.append(0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))).astype(np.int64)
-        coded = words.dictionary_encode()
+        words, ends, coded = self.flat(lists)
+        order = np.arange(len(texts))
+        # pieces that are empty or begin or end with other white space: their blanks are not alone between two words
+        odd = pc.or_(pc.equal(coded.dictionary, ""), pc.not_equal(pc.utf8_trim_whitespace(coded.dictionary), coded.dictionary)).to_numpy(zero_copy_only=False)
+        if odd.any():
+            places = np.flatnonzero(odd[coded.indices.to_numpy(zero_copy_only=False)])
+            uneven = np.unique(np.searchsorted(ends, places, "right") - 1)
+            even = np.delete(order, uneven)
+            order = np.concatenate([even, uneven])
+            pieces = pa.array([BETWEEN.split(texts[i].as_py()) for i in uneven.tolist()], pa.list_(pa.string()))
+            words, ends, coded = self.flat(pa.concat_arrays([lists.take(pa.array(even)), pieces]))
         known = coded.dictionary.to_pylist()
         heads = words.take(pa.array(ends[:-1])).to_pylist()
-        self.learn(self.first, set(heads), "")
-        self.learn(self.next, set(known), " ")
-        parts = [*map(self.next.__getitem__, known), *map(self.first.__getitem__, heads)]
+        self.first = self.learn(self.first, set(heads), "")
+        self.next = self.learn(self.next, set(known), " ")
+        parts = [*map(self.next[0].__getitem__, known), *map(self.first[0].__getitem__, heads)]
         data = np.frombuffer(b"".join(parts), kind)
         size = np.fromiter(map(len, parts), np.int64, len(parts)) // kind.itemsize
         start = np.cumsum(size) - size
@@ -116,4 +129,7 @@ class Words:
         size, start = size[which], start[which]
         stop = np.append(0, np.cumsum(size))
         ids = data[np.repeat(start - stop[:-1], size) + np.arange(stop[-1])]
-        return [ids[a:b] for a, b in zip(stop[ends[:-1]].tolist(), stop[ends[1:]].tolist())]
+        out = [ids] * len(texts)
+        for i, a, b in zip(order.tolist(), stop[ends[:-1]].tolist(), stop[ends[1:]].tolist()):
+            out[i] = ids[a:b]
+        return out
