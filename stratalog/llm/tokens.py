@@ -21,7 +21,8 @@ import pyarrow.compute as pc
 KEPT = 300_000
 #: Marks that may follow a plain word.
 MARKS = ".,!?;:"
-#: A blank that is alone between two words.
+#: A blank that is not alone between two words (a pattern of Arrow), and one that is.
+UNEVEN = r"[\s\x0b\x1c-\x1f\x85\p{Z}] | [\s\x0b\x1c-\x1f\x85\p{Z}]|^ | $"
 BETWEEN = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -105,17 +106,14 @@ class Words:
         kind = np.dtype("<u2" if self.kind == "H" else "<u4")
         texts = pc.fill_null(texts, "")
         lists = pc.split_pattern(texts, " ")
-        words, ends, coded = self.flat(lists)
         order = np.arange(len(texts))
-        # pieces that are empty or begin or end with other white space: their blanks are not alone between two words
-        odd = pc.or_(pc.equal(coded.dictionary, ""), pc.not_equal(pc.utf8_trim_whitespace(coded.dictionary), coded.dictionary)).to_numpy(zero_copy_only=False)
-        if odd.any():
-            places = np.flatnonzero(odd[coded.indices.to_numpy(zero_copy_only=False)])
-            uneven = np.unique(np.searchsorted(ends, places, "right") - 1)
+        uneven = np.flatnonzero(pc.match_substring_regex(texts, UNEVEN).to_numpy(zero_copy_only=False))
+        if len(uneven):
             even = np.delete(order, uneven)
             order = np.concatenate([even, uneven])
             pieces = pa.array([BETWEEN.split(texts[i].as_py()) for i in uneven.tolist()], pa.list_(pa.string()))
-            words, ends, coded = self.flat(pa.concat_arrays([lists.take(pa.array(even)), pieces]))
+            lists = pa.concat_arrays([lists.take(pa.array(even)), pieces])
+        words, ends, coded = self.flat(lists)
         known = coded.dictionary.to_pylist()
         heads = words.take(pa.array(ends[:-1])).to_pylist()
         self.first = self.learn(self.first, set(heads), "")
