@@ -43,10 +43,29 @@ def test_few_vectors_and_none(spark):
 def test_bounds_hold_and_save_reads():
     rng = np.random.default_rng(3)
     x = np.floor(1024 * rng.normal(0, 0.2, (4000, 32))).astype(np.int64)
-    code, low, high = E.approximate(x)
-    columns = np.arange(32)
-    assert (low[code, columns] <= x).all() and (x <= high[code, columns]).all()
-    found = E.search(np.arange(4000), x, np.array([5]), x[5:6], 10)
-    scores = x @ x[5]
-    scores[5] = scores.min() - 1
-    assert [s for _, _, s, _ in found] == sorted(scores.tolist(), reverse=True)[:10] and found[0][3] < 400
+    code, low, step = E.approximate(x)
+    scores = x @ x[:300].T
+    least, most = E.bounds(code, low, step, x[:300])
+    assert (least <= scores).all() and (scores <= most).all()
+    left = {n: set() for n in range(300)}
+    for q, v, a, b in E.scan(np.arange(4000), code, low, step, np.arange(300), x[:300], 10):
+        assert (a <= scores[v, q]).all() and (scores[v, q] <= b).all()
+        for i, j in zip(q.tolist(), v.tolist()):
+            left[i].add(j)
+    scores[np.arange(300), np.arange(300)] = scores.min() - 1
+    for n in range(300):
+        assert set(np.argsort(-scores[:, n], kind="stable")[:10].tolist()) <= left[n] and n not in left[n]
+    assert sum(map(len, left.values())) < 300 * 60
+
+
+def test_shards_keep_the_smallest_ids_of_a_hot_vector():
+    x = np.array([[1, 2], [3, 4], [1, 2], [1, 2], [1, 2], [3, 4]])
+    assert sorted(E.several(np.array([9, 8, 7, 6, 5, 4]), x, 1).tolist()) == [1, 3, 4, 5]
+
+
+def test_few_exact_vectors_are_read(spark):
+    rng = random.Random(5)
+    df = spark.createDataFrame([(i, [rng.gauss(0, 0.2) for _ in range(16)]) for i in range(1500)], "vec_id long, embedding array<float>")
+    got = E.exact_topk(df, df.where("vec_id % 100 = 0"), 10, 400, 10)
+    reads = {r["query_id"]: r["reads"] for r in got.collect()}
+    assert len(reads) == 15 and all(10 <= n < 100 for n in reads.values())
