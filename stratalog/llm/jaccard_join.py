@@ -423,3 +423,26 @@ def near_copies(docs: DataFrame, n: int = N, near: int = NEAR) -> DataFrame:
 
 def op5_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return near_copies(documents(spark, sf_dir))
+
+
+ORACLE_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+u AS (SELECT doc_id, len(w) AS n, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM w),
+five AS (
+  SELECT doc_id, n, i, concat_ws(' ', word, lead(word, 1) OVER o, lead(word, 2) OVER o, lead(word, 3) OVER o, lead(word, 4) OVER o) AS g
+  FROM u WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+s AS (SELECT DISTINCT doc_id, g FROM five WHERE i <= greatest(1, n - 4)),
+size AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+met AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s AS a JOIN s AS b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS (
+  SELECT x, y FROM met JOIN size AS p ON p.doc_id = x JOIN size AS q ON q.doc_id = y WHERE 100 * c >= 80 * (p.n + q.n - c)),
+way AS (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
+reach AS (
+  SELECT doc_id, doc_id AS label FROM documents
+  UNION
+  SELECT way.y, reach.label FROM reach JOIN way ON way.x = reach.doc_id WHERE reach.label < way.y)
+SELECT reach.doc_id, coalesce(any_value(size.n), 0) AS n_shingles, min(label) AS component_id
+FROM reach LEFT JOIN size ON size.doc_id = reach.doc_id GROUP BY reach.doc_id
+"""

@@ -568,3 +568,30 @@ def op7_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     """The contract's columns for strings of LENGTH bytes, and n_passage: the bytes that strings of PASSAGE bytes cover which also start elsewhere."""
     found = suffix_dedup(documents(spark, sf_dir), (LENGTH, PASSAGE))
     return found.withColumn("n_passage", F.get("covered_bytes", F.lit(1))).drop("covered_bytes")
+
+
+def _runs(n: int) -> str:
+    """SQL for run<n>: the maximal runs of bytes from a to before b that repeated strings of n bytes cover."""
+    return f"""
+part{n} AS (SELECT r, 2048 * j AS base, substr(h, 4096 * j + 1, 4096 + {2 * n - 2}) AS p FROM (SELECT r, h, unnest(range(len(h) // 4096 + 1)) AS j FROM d)),
+start{n} AS (SELECT r, base + i AS i, md5(substr(p, 2 * i + 1, {2 * n})) AS k FROM (SELECT r, base, p, unnest(range(len(p) // 2 - {n - 1})) AS i FROM part{n})),
+again{n} AS (SELECT r, i FROM start{n} SEMI JOIN (SELECT k FROM start{n} GROUP BY k HAVING count(*) > 1) AS often USING (k)),
+new{n} AS (SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + {n} THEN 0 ELSE 1 END AS first FROM again{n}),
+number{n} AS (SELECT r, i, sum(first) OVER (PARTITION BY r ORDER BY i) AS run FROM new{n}),
+run{n} AS (SELECT r, run, min(i) AS a, max(i) + {n} AS b FROM number{n} GROUP BY r, run)"""
+
+
+ORACLE_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+{_runs(LENGTH)},
+{_runs(PASSAGE)},
+piece AS (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS before FROM run{LENGTH}),
+cut AS (
+  SELECT r, sum(b - a) AS n, count(*) AS spans,
+         string_agg(substr(any_h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || substr(any_value(any_h), 2 * max(b) + 1) AS kept
+  FROM piece JOIN (SELECT r, h AS any_h FROM d) AS t USING (r) GROUP BY r),
+passage AS (SELECT r, sum(b - a) AS n FROM run{PASSAGE} GROUP BY r)
+SELECT doc_id, len(h) // 2 AS n_bytes, CAST(coalesce(cut.n, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans,
+       sha256(unhex(coalesce(kept, h))) AS kept_sha256, CAST(coalesce(passage.n, 0) AS BIGINT) AS n_passage
+FROM d LEFT JOIN cut USING (r) LEFT JOIN passage USING (r)
+"""
