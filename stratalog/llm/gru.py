@@ -16,8 +16,8 @@ import numpy as np
 
 HIDDEN, CLASSES, STEPS, LANES = 16, 32, 16, 192
 RATE = 0.3
-#: Words that are dealt to lanes at a time.
-DEALT = 1_000_000
+#: Words that are dealt to lanes at a time, and windows that are laid out at a time.
+DEALT, WINDOWS = 1_000_000, 64
 
 
 @dataclass
@@ -57,38 +57,53 @@ def initial(counts: np.ndarray, outside: float, shape: Shape, hidden: int = HIDD
     }
 
 
-def step(p: dict, ids: np.ndarray, h: np.ndarray):
-    """The next state, and what backpropagation needs. z keeps the old state in part, r gates it."""
-    a = p["x"][ids]
-    a += p["b"]
-    return after(p, a, h)
+def forward(a: np.ndarray, h: np.ndarray, ut: np.ndarray, kt: np.ndarray, rh: np.ndarray, out: np.ndarray) -> None:
+    """The next state into out. a holds the inputs and becomes the gates z (keeps the old state in part) and r (gates it),
+    and the candidate. Here and below, columns are words side by side, so that every row is one long stretch of memory."""
+    n = len(h)
+    gates, c = a[: 2 * n], a[2 * n :]
+    gates += ut @ h
+    np.negative(gates, out=gates)
+    np.exp(gates, out=gates)
+    gates += 1
+    np.reciprocal(gates, out=gates)
+    np.multiply(gates[n:], h, out=rh)
+    c += kt @ rh
+    np.tanh(c, out=c)
+    np.subtract(c, h, out=out)
+    out *= gates[:n]
+    out += h
 
 
-def after(p: dict, a: np.ndarray, h: np.ndarray):
-    """step() for inputs that are looked up already."""
+def step(p: dict, ids: np.ndarray, h: np.ndarray):
+    """The next state of each row of h, and what it was made of: the states, gates, gated states and candidates before."""
     n = h.shape[1]
-    gates = 1 / (1 + np.exp(-(a[:, : 2 * n] + h @ p["u"])))
-    z, r = gates[:, :n], gates[:, n:]
-    rh = r * h
-    c = np.tanh(a[:, 2 * n :] + rh @ p["k"])
-    return h + z * (c - h), (h, gates, rh, c)
+    a = (p["x"][ids] + p["b"]).T.copy()
+    before = np.ascontiguousarray(h.T)
+    rh, out = np.empty_like(before), np.empty_like(before)
+    forward(a, before, p["u"].T, p["k"].T, rh, out)
+    return out.T, (h, a[: 2 * n].T, rh.T, a[2 * n :].T)
+
 
+def beside(x: np.ndarray) -> np.ndarray:
+    """The columns of all steps in one row."""
+    return x.transpose(1, 0, 2).reshape(x.shape[1], -1)
 
-def softmax_at(x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(log probability of column at in each row, all probabilities)."""
-    x = x - x.max(1, keepdims=True)
-    e = np.exp(x)
-    s = e.sum(1)
-    return x[np.arange(len(x)), at] - np.log(s), e / s[:, None]
+
+def log_softmax_at(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """log probability of row at in each column; x is overwritten."""
+    x -= x.max(0)
+    found = x[at, np.arange(x.shape[1])]
+    np.exp(x, out=x)
+    return found - np.log(x.sum(0))
 
 
 def slope(x: np.ndarray, at: np.ndarray, scale: np.float32) -> np.ndarray:
-    """The gradient of -log softmax at column at of each row, scaled; x is overwritten."""
-    x -= x.max(1, keepdims=True)
+    """The gradient of -log softmax at row at of each column, scaled; x is overwritten."""
+    x -= x.max(0)
     np.exp(x, out=x)
-    x /= x.sum(1, keepdims=True)
-    x[np.arange(len(x)), at] -= 1
-    x *= scale
+    x *= scale / x.sum(0)
+    x[at, np.arange(x.shape[1])] -= scale
     return x
 
 
@@ -103,10 +118,24 @@ def by_class(shape: Shape, words: np.ndarray) -> Iterator[tuple[int, int, np.nda
 
 
 def log_probs(p: dict, shape: Shape, h: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """Natural log probability of each word (0: that it lies outside the vocabulary) given its state."""
-    out, _ = softmax_at(h @ p["wc"] + p["bc"], shape.word_class[words])
-    for a, b, rows in by_class(shape, words):
-        out[rows] += softmax_at(h[rows] @ p["wo"][:, a:b] + p["bo"][a:b], words[rows] - 1 - a)[0]
+    """Natural log probability of each word (0: that it lies outside the vocabulary) given its state, a row of h."""
+    return log_probs_at(p, shape, h.T, words)
+
+
+def log_probs_at(p: dict, shape: Shape, h: np.ndarray, words: np.ndarray, most: int = 8192) -> np.ndarray:
+    """log_probs() of states that are columns, a stretch of columns at a time."""
+    out = np.empty(len(words), h.dtype)
+    wc, wo, bc, bo = np.ascontiguousarray(p["wc"].T), np.ascontiguousarray(p["wo"].T), p["bc"][:, None], p["bo"][:, None]
+    for at in range(0, len(words), most):
+        own, w = h[:, at : at + most], words[at : at + most]
+        x = wc @ own
+        x += bc
+        got = log_softmax_at(x, shape.word_class[w])
+        for a, b, rows in by_class(shape, w):
+            x = wo[a:b] @ own.take(rows, 1)
+            x += bo[a:b]
+            got[rows] += log_softmax_at(x, w[rows] - 1 - a)
+        out[at : at + most] = got
     return out
 
 
@@ -117,36 +146,30 @@ def score(p: dict, shape: Shape, docs: list[np.ndarray], end: int, steps: int =
     sizes = np.array([len(docs[i]) for i in order], np.int64)
     if not len(docs) or not sizes[0]:
         return out
-    at = 0
-    h = np.zeros((len(docs), p["k"].shape[0]), np.float32)
+    flat = np.concatenate([docs[i] for i in order])
+    starts = np.cumsum(sizes) - sizes
+    n = p["k"].shape[0]
+    xt, b, ut, kt = np.ascontiguousarray(p["x"].T), p["b"][:, None], np.ascontiguousarray(p["u"].T), np.ascontiguousarray(p["k"].T)
+    kind = xt.dtype
+    h = np.zeros((n, len(docs)), kind)
     last = np.full(len(docs), end, np.int64)
     totals = np.zeros(len(docs))
-    while True:
-        live = int(np.searchsorted(-sizes, -at, "left"))  # documents longer than at stand first
-        if not live:
-            break
-        h, last = h[:live], last[:live]
-        width = min(steps, int(sizes[0]) - at)
-        states, words, rows = [], [], []
-        for t in range(width):
-            n = int(np.searchsorted(-sizes, -(at + t), "left"))
-            if not n:
-                break
-            now = np.fromiter((docs[order[i]][at + t] for i in range(n)), np.int64, n) if width == 1 else window[:n, t] if t else None
-            if now is None:
-                window = np.zeros((live, width), np.int64)
-                for i in range(live):
-                    part = docs[order[i]][at : at + width]
-                    window[i, : len(part)] = part
-                now = window[:n, 0]
-            h = step(p, last[:n], h[:n])[0]
-            states.append(h)
-            words.append(now)
-            rows.append(np.arange(n))
-            last = now
-        got = log_probs(p, shape, np.concatenate(states), np.concatenate(words))
-        totals[:live] += np.bincount(np.concatenate(rows), got, live)
-        at += width
+    for at in range(0, int(sizes[0]), steps):
+        # documents longer than at stand first
+        lives = np.searchsorted(-sizes, -np.arange(at, min(at + steps, int(sizes[0]))), "left").tolist()
+        ends = np.cumsum([0, *lives]).tolist()
+        states, words = np.empty((n, ends[-1]), kind), np.empty(ends[-1], np.int64)
+        for t, live in enumerate(lives):
+            a = xt.take(last[:live], 1)
+            a += b
+            now = states[:, ends[t] : ends[t + 1]]
+            forward(a, h[:, :live], ut, kt, np.empty((n, live), kind), now)
+            h, last = now, flat[starts[:live] + (at + t)].astype(np.int64)
+            words[ends[t] : ends[t + 1]] = last
+        h = h.copy()
+        got = log_probs_at(p, shape, states, words)
+        for t, live in enumerate(lives):
+            totals[:live] += got[ends[t] : ends[t + 1]]
     out[order] = totals
     return out
 
@@ -161,9 +184,13 @@ class Trainer:
         self.words = 0
 
     def update(self, key: str, g: np.ndarray, at=slice(None)) -> None:
-        g = np.clip(g, -1, 1)
-        self.sums[key][at] += g * g
-        self.p[key][at] -= self.rate * g / np.sqrt(self.sums[key][at])
+        g = np.minimum(np.maximum(g, -1), 1)
+        sums = self.sums[key][at]
+        sums += g * g
+        self.sums[key][at] = sums
+        g *= self.rate
+        g /= np.sqrt(sums)
+        self.p[key][at] -= g
 
     def train(self, docs: Iterable[np.ndarray], lanes: int = LANES, steps: int = STEPS, dealt: int = DEALT) -> None:
         """One pass over docs, which may be a stream. Documents follow each other in a lane, each from an empty state."""
@@ -196,73 +223,116 @@ class Trainer:
             keep.append(k)
         sizes = [len(y) for y in target]
         h = np.zeros((len(target), self.p["k"].shape[0]), np.float32)
-        for at in range(0, sizes[0] if sizes else 0, steps):
-            live = sum(n > at for n in sizes)
-            x = np.full((steps, live), self.end, np.int64)
-            y = np.full((steps, live), -1, np.int64)
-            k = np.ones((steps, live), np.float32)
+        wide = steps * WINDOWS
+        for begin in range(0, sizes[0] if sizes else 0, wide):
+            live = sum(n > begin for n in sizes)
+            x = np.full((live, wide), self.end, np.int64)
+            y = np.full((live, wide), -1, np.int64)
+            k = np.ones((live, wide), np.float32)
             for i in range(live):
-                n = min(steps, sizes[i] - at)
-                x[:n, i], y[:n, i], k[:n, i] = source[i][at : at + n], target[i][at : at + n], keep[i][at : at + n]
-            h = self.window(x, y, h[:live], k)
+                n = min(wide, sizes[i] - begin)
+                x[i, :n], y[i, :n], k[i, :n] = source[i][begin : begin + n], target[i][begin : begin + n], keep[i][begin : begin + n]
+            x, y, k = x.T, y.T, k.T
+            for at in range(0, min(wide, sizes[0] - begin), steps):
+                live = sum(n > begin + at for n in sizes)
+                h = self.window(x[at : at + steps, :live], y[at : at + steps, :live], h[:live], k[at : at + steps, :live])
 
     def window(self, x: np.ndarray, y: np.ndarray, h: np.ndarray, keep: np.ndarray | None = None) -> np.ndarray:
         """One update from x (inputs), y (words to foretell, -1: none) and the states before; keep is 0 where a document begins."""
-        p, shape, n = self.p, self.shape, h.shape[1]
-        kept, states = [], []
-        inputs = p["x"][x]
-        inputs += p["b"]
-        for t, a in enumerate(inputs):
-            h, k = after(p, a, h if keep is None else h * keep[t][:, None])
-            kept.append(k)
-            states.append(h)
+        p, shape, n, (steps, live) = self.p, self.shape, h.shape[1], x.shape
+        kind = p["x"].dtype
+        ids = x.reshape(-1)
+        # a step's columns stand together; rows that lie a power of two apart would share few lines of the cache
+        a = np.empty((steps, 3 * n, live), kind)
+        np.add(p["x"].take(ids, 0).reshape(steps, live, 3 * n).transpose(0, 2, 1), p["b"][:, None], out=a)
+        kept, states, gated = (np.empty((steps, n, live), kind) for _ in range(3))
+        u, k = p["u"], p["k"]
+        ut, kt = np.ascontiguousarray(u.T), np.ascontiguousarray(k.T)
+        now = h.T
+        for t in range(steps):
+            if keep is None:
+                kept[t] = now
+            else:
+                np.multiply(now, keep[t], out=kept[t])
+            now = states[t]
+            forward(a[t], kept[t], ut, kt, gated[t], now)
         words = y.reshape(-1)
         rows = np.flatnonzero(words >= 0)
         # by class, so that each class is a slice
-        rows = rows[np.argsort(shape.word_class[words[rows]], kind="stable")]
-        flat, words = np.concatenate(states)[rows], words[rows]
+        rows = rows[np.argsort(shape.word_class[words[rows]].astype(np.uint16), kind="stable")]
+        flat, words = beside(states).take(rows, 1), words[rows]
         self.words += len(rows)
         number = shape.word_class[words]
         words_of_a_window = STEPS * LANES  # so that a few last long documents move the weights little
-        scale = np.float32(1 / np.sqrt(words_of_a_window))
-        g = slope(flat @ p["wc"] + p["bc"], number, scale)
-        dh = g @ p["wc"].T
-        dwc, dbc = flat.T @ g, g.sum(0)
-        dwo, dbo = np.zeros_like(p["wo"]), np.zeros_like(p["bo"])
+        scale = kind.type(1 / np.sqrt(words_of_a_window))
+        g = p["wc"].T @ flat
+        g += p["bc"][:, None]
+        g = slope(g, number, scale)
+        dh = p["wc"] @ g
+        dwc, dbc = flat @ g.T, g.sum(1)
+        # the biases are the weights of one more state that is always 1
+        wot = np.concatenate([p["wo"], p["bo"][None]]).T.copy()
+        ones = np.concatenate([flat, np.ones((1, len(rows)), kind)])
+        dwo = np.zeros_like(wot)
         ends = np.searchsorted(number, np.arange(1, len(shape.starts) + 1)).tolist()
-        cuts = shape.starts.tolist()
-        for a, b, s, e in zip(cuts, cuts[1:], ends, ends[1:]):
-            if e > s and b - a > 1:
-                own, w = flat[s:e], p["wo"][:, a:b]
-                g = slope(own @ w + p["bo"][a:b], words[s:e] - 1 - a, scale)
-                dh[s:e] += g @ w.T
-                dwo[:, a:b] = own.T @ g
-                dbo[a:b] = g.sum(0)
-        all_ = np.zeros((x.size, n), np.float32)
-        all_[rows] = dh
-        all_ = all_.reshape(*x.shape, n)
-        back = np.zeros_like(all_[0])
-        da = np.empty((*x.shape, 3 * n), np.float32)
-        ut, kt = np.ascontiguousarray(p["u"].T), np.ascontiguousarray(p["k"].T)
-        for t in reversed(range(len(x))):
-            before, gates, rh, c = kept[t]
-            z, r = gates[:, :n], gates[:, n:]
-            d = all_[t] + back
-            dc = d * z * (1 - c * c)
-            drh = dc @ kt
-            dg = np.concatenate([d * (c - before), drh * before], 1) * gates * (1 - gates)
-            da[t, :, : 2 * n], da[t, :, 2 * n :] = dg, dc
-            back = d * (1 - z) + drh * r + dg @ ut
+        starts = shape.starts.tolist()
+        some = [c for c in zip(starts, starts[1:], ends, ends[1:]) if c[3] > c[2] and c[1] - c[0] > 1]
+        sizes = [(stop - first) * (e - s) for first, stop, s, e in some]
+        # the classes' logits stand one after another, so that what is alike for all is done at once
+        logits = np.empty(sum(sizes), kind)
+        at, of_class, target = 0, [], []
+        for (first, stop, s, e), size in zip(some, sizes):
+            g = logits[at : at + size].reshape(stop - first, e - s)
+            np.matmul(wot[first:stop], ones[:, s:e], out=g)
+            g -= np.maximum.reduce(g, 0)
+            of_class.append(g)
+            target.append((words[s:e] - (1 + first)) * (e - s) + np.arange(at, at + e - s))
+            at += size
+        np.exp(logits, out=logits)
+        for (_, _, s, e), g in zip(some, of_class):
+            g *= scale / np.add.reduce(g, 0)
+        if some:
+            logits[np.concatenate(target)] -= scale
+        for (first, stop, s, e), g in zip(some, of_class):
+            own = ones[:, s:e]
+            dh[:, s:e] += p["wo"][:, first:stop] @ g
+            np.matmul(g, own.T, out=dwo[first:stop])
+        all_ = np.zeros((n, ids.size), kind)
+        all_[:, rows] = dh
+        all_ = all_.reshape(n, steps, live).transpose(1, 0, 2).copy()
+        # what a step's gradient is multiplied with, for all steps at once
+        z, r, c = a[:, :n], a[:, n : 2 * n], a[:, 2 * n :]
+        old = 1 - z
+        to_c = c * c
+        np.subtract(1, to_c, out=to_c)
+        to_c *= z
+        to_z = c - kept
+        to_z *= z
+        to_z *= old
+        to_r = 1 - r
+        to_r *= r
+        to_r *= kept
+        da = np.empty((steps, 3 * n, live), kind)
+        back = np.zeros((n, live), kind)
+        for t in reversed(range(steps)):
+            d, own = all_[t], da[t]
+            d += back
+            np.multiply(d, to_c[t], out=own[2 * n :])
+            drh = k @ own[2 * n :]
+            np.multiply(d, to_z[t], out=own[:n])
+            np.multiply(drh, to_r[t], out=own[n : 2 * n])
+            np.multiply(d, old[t], out=back)
+            drh *= r[t]
+            back += drh
+            back += u @ own[: 2 * n]
             if keep is not None:
-                back *= keep[t][:, None]
-        flat_a = da.reshape(-1, 3 * n)
-        du = np.concatenate([k[0] for k in kept]).T @ flat_a[:, : 2 * n]
-        dk = np.concatenate([k[2] for k in kept]).T @ flat_a[:, 2 * n :]
-        for key, g in (("wc", dwc), ("bc", dbc), ("wo", dwo), ("bo", dbo), ("u", du), ("k", dk)):
-            self.update(key, g)
-        ids = x.reshape(-1)
-        order = np.argsort(ids, kind="stable")
+                back *= keep[t]
+        da = da.transpose(0, 2, 1).reshape(-1, 3 * n)
+        du, dk = beside(kept) @ da[:, : 2 * n], beside(gated) @ da[:, 2 * n :]
+        order = np.argsort(ids.astype(np.uint16) if len(p["x"]) <= 1 << 16 else ids, kind="stable")
         first = np.flatnonzero(np.diff(ids[order], prepend=-1))
-        self.update("x", np.add.reduceat(flat_a[order], first, axis=0), ids[order][first])
-        self.update("b", flat_a.sum(0))
-        return h
+        dx = np.add.reduceat(da.take(order, 0), first, axis=0)
+        for key, g in (("wc", dwc), ("bc", dbc), ("wo", dwo[:, :n].T), ("bo", dwo[:, n]), ("u", du), ("k", dk), ("b", dx.sum(0))):
+            self.update(key, g)
+        self.update("x", dx, ids[order][first])
+        return states[-1].T

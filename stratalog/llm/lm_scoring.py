@@ -23,17 +23,17 @@ table gives no rows. Extra columns are ignored.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import gru
-from .common import documents, held_out, map_arrow, materialize, session_of, texts
+from .common import documents, held_out, map_arrow, materialize, session_of
 
 VOCABULARY, FREQUENT = 2048, 131_072
 #: Words of a shard, about, and rounds of training over different shards.
@@ -44,27 +44,49 @@ END = b""
 SMOOTH = 0.1
 
 
-def words_of(text: str) -> list[bytes]:
-    return text.encode("utf-8", "replace").lower().split() + [END]
+def words_of(batch: pa.RecordBatch) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The different words of a batch of texts, the place among them of each word of each text, its end included, and
+    where each text's words begin."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(batch.column("text"), "")))
+    flat = lists.flatten().dictionary_encode()
+    different = pa.concat_arrays([flat.dictionary.cast(pa.binary()), pa.array([END], pa.binary())])
+    which = flat.indices.to_numpy(zero_copy_only=False)
+    text = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+    # what stands before a first blank and after a last one is empty, and no word
+    kept = np.append(pc.binary_length(different).to_numpy(zero_copy_only=False)[:-1] > 0, True)[which]
+    which, text = which[kept], text[kept]
+    ends = np.cumsum(np.bincount(text, minlength=len(lists)) + 1)
+    out = np.full(len(which) + len(lists), len(different) - 1, np.int32)
+    out[np.arange(len(which)) + text] = which
+    return different, out, np.append(0, ends)[:-1]
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """word and c of every word of the training documents."""
 
     def count(it: Iterator[pa.RecordBatch]):
-        held: Counter = Counter()
+        held, size = [], 0
 
         def rows():
-            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["word", "c"])
+            each_ = pa.Table.from_batches(held).group_by("word", use_threads=False).aggregate([("c", "sum")])
+            return pa.Table.from_arrays([each_["word"], each_["c_sum"]], names=["word", "c"]).combine_chunks().to_batches()
 
         for batch in it:
-            for t in texts(batch):
-                held.update(words_of(t))
-            if len(held) > COUNTED:
-                yield rows()
-                held = Counter()
+            if not batch.num_rows:
+                continue
+            different, which, _ = words_of(batch)
+            n = np.bincount(which, minlength=len(different))
+            used = np.flatnonzero(n)
+            held.append(pa.RecordBatch.from_arrays([different.take(pa.array(used)), pa.array(n[used], pa.int64())], names=["word", "c"]))
+            size += len(used)
+            if size > COUNTED:
+                held, size = rows(), 0
+                # many of them are new: hand on
+                if (size := sum(map(len, held))) > COUNTED // 2:
+                    yield from held
+                    held, size = [], 0
         if held:
-            yield rows()
+            yield from rows()
 
     return map_arrow(docs.where("NOT held_out").select("text"), count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
@@ -124,19 +146,26 @@ def mapped(docs: DataFrame, lex: Lexicon) -> DataFrame:
     def one(it: Iterator[pa.RecordBatch]):
         words = shared.value
         for batch in it:
-            rows = []
-            for row, doc_id, held, t in zip(*(batch.column(c).to_pylist() for c in ("row", "doc_id", "held_out")), texts(batch)):
-                own = words_of(t)
-                found = words.find(own)
-                told = found[found >= 0]
-                rest = found[found >= words.v]
-                unknown = Counter(own[i] for i in np.flatnonzero(found < 0).tolist())
-                base = words.base[told]
-                # words outside the vocabulary: their share of that class; what is not told is added after the join
-                part = float(words.base[rest].sum()) - words.rest * (len(rest) + unknown.total())
-                rows.append((row, doc_id, held, len(own), len(told), float(base.sum()), part, [{"word": w, "n": n} for w, n in unknown.items()], words.model(found).astype("<i2").tobytes()))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), kind)], schema=kind)
+            if not batch.num_rows:
+                continue
+            different, which, starts = words_of(batch)
+            ends = np.append(starts[1:], len(which))
+            found = words.find(different.to_pylist())[which]
+            told, outside = found >= 0, (found < 0) | (found >= words.v)
+            base = np.where(told, words.base[np.maximum(found, 0)], 0.0) if len(words.base) else np.zeros(len(found))
+            # words outside the vocabulary: their share of that class; what is not told is added after the join
+            part = np.add.reduceat(np.where(outside, base, 0.0), starts) - words.rest * np.add.reduceat(outside.astype(np.int64), starts)
+            unknown = np.flatnonzero(~told)
+            text = np.searchsorted(starts, unknown, "right") - 1
+            pairs, n = np.unique(text * len(different) + which[unknown], return_counts=True)
+            rest = pa.StructArray.from_arrays([different.take(pa.array(pairs % len(different))), pa.array(n, pa.int32())], fields=list(other.value_type))
+            cuts = np.searchsorted(pairs, np.arange(len(starts) + 1) * len(different))
+            ids = words.model(found).astype("<i2")
+            binary = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer((np.append(0, ends) * 2).astype(np.int32)), pa.py_buffer(ids)])
+            sums = [ends - starts, np.add.reduceat(told.astype(np.int64), starts), np.add.reduceat(base, starts), part]
+            others = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), rest).cast(other)
+            columns = [*(batch.column(c) for c in ("row", "doc_id", "held_out")), *(pa.array(x, f.type) for x, f in zip(sums, list(kind)[3:])), others, binary]
+            yield pa.RecordBatch.from_arrays(columns, schema=kind)
 
     kinds = "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, part double, others array<struct<word:binary,n:int>>, ids binary"
     return map_arrow(docs.withColumn("row", F.monotonically_increasing_id()), one, kinds)
