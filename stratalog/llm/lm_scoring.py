@@ -150,7 +150,7 @@ def mapped(docs: DataFrame, lex: Lexicon) -> DataFrame:
                 continue
             different, which, starts = words_of(batch)
             ends = np.append(starts[1:], len(which))
-            found = words.find(different.to_pylist())[which]
+            found = words.find(different.to_numpy(zero_copy_only=False).tolist())[which]
             told, outside = found >= 0, (found < 0) | (found >= words.v)
             base = np.where(told, words.base[np.maximum(found, 0)], 0.0) if len(words.base) else np.zeros(len(found))
             # words outside the vocabulary: their share of that class; what is not told is added after the join

@@ -160,13 +160,16 @@ def read_block(code: Code, payload: bytes) -> tuple[list, list[np.ndarray]]:
 
 
 def encode_ids(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """doc_id and ids (binary, 16 or 32 bits each), the end id last."""
+    """doc_id and ids (binary, 16 or 32 bits each, compressed by zstd), the end id last."""
     kind = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
     width = width_of(vocabulary_size(vocabulary))
     end = np.array([END], width).tobytes()
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids = [x.tobytes() + end for x in words_of(vocabulary_path(vocabulary), width).encode(batch.column("text"))]
+        import zstandard
+
+        zip_ = zstandard.ZstdCompressor(level=1).compress
+        ids = [zip_(x.tobytes() + end) for x in words_of(vocabulary_path(vocabulary), width).encode(batch.column("text"))]
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], schema=kind)
 
     df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -177,10 +180,13 @@ def id_counts(ids: DataFrame, size: int, width: str) -> np.ndarray:
     """How often each id occurs; tasks send one row per id that they have."""
 
     def count(it):
+        import zstandard
+
+        unzip = zstandard.ZstdDecompressor().decompress
         total = np.zeros(size, np.int64)
         for batch in it:
-            for x in batch.column("ids"):
-                total += np.bincount(np.frombuffer(x.as_py(), width), minlength=size)
+            data = b"".join(unzip(x.as_py()) for x in batch.column("ids"))
+            total += np.bincount(np.frombuffer(data, width), minlength=size)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"id": pa.array(used, pa.int32()), "n": pa.array(total[used], pa.int64())})
 
@@ -205,7 +211,7 @@ def write_token_files(docs: DataFrame, path: str | None = None, vocabulary: str
     size = vocabulary_size(vocabulary)
     width = width_of(size)
     plain = encode_ids(docs, vocabulary)
-    plain.write.option("compression", "zstd").parquet(f"{root}/ids")
+    plain.write.option("compression", "none").parquet(f"{root}/ids")
     ids = spark.read.schema(plain.schema).parquet(f"{root}/ids")
     lengths = code_lengths(id_counts(ids, size, width))
 
@@ -234,15 +240,8 @@ def write_token_files(docs: DataFrame, path: str | None = None, vocabulary: str
         if own:
             yield flush()
 
-    def squeeze(batch: pa.RecordBatch) -> pa.RecordBatch:
-        import zstandard
-
-        zip_ = zstandard.ZstdCompressor(level=1).compress
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([zip_(x.as_py()) for x in batch.column("ids")], pa.binary())], schema=batch.schema)
-
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    squeezed = map_arrow(ids, lambda it: each(it, squeeze), "doc_id long, ids binary")
-    ordered = squeezed.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
+    ordered = ids.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
     map_arrow(ordered, pack, "part int, block int, first long, n_ids long, payload binary").write.option("compression", "none").parquet(f"{root}/blocks")
     starts, at = {}, 0
     for r in sorted(spark.read.parquet(f"{root}/blocks").groupBy("part").agg(F.sum("n_ids").alias("n")).collect()):

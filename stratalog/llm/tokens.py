@@ -24,6 +24,8 @@ MARKS = ".,!?;:"
 #: A blank that is not alone between two words (a pattern of Arrow), and one that is.
 UNEVEN = r"[\s\x0b\x1c-\x1f\x85\p{Z}] | [\s\x0b\x1c-\x1f\x85\p{Z}]|^ | $"
 BETWEEN = re.compile(r"(?<=\S) (?=\S)")
+#: Words that are encoded as one text.
+JOINED = 512
 
 
 @lru_cache(maxsize=4)
@@ -48,6 +50,16 @@ def encoded(path: str, texts: list[str]) -> list[list[int]]:
     return [x.ids for x in tokenizer(path).encode_batch_fast(texts, add_special_tokens=False)]
 
 
+@lru_cache(maxsize=4)
+def begin_with_blank(path: str) -> np.ndarray:
+    """Whether each id of a byte-level vocabulary begins with a blank."""
+    found = tokenizer(path)
+    words = found.get_vocab(with_added_tokens=True)
+    out = np.zeros(max(words.values(), default=-1) + 1, bool)
+    out[[i for w, i in words.items() if w.startswith(LETTERS[32])]] = True
+    return out
+
+
 def byte_letters() -> list[str]:
     """The letter that byte-level vocabularies write for each byte: its own where it can be seen, else one from U+0100 on."""
     seen = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -88,12 +100,33 @@ class Words:
                     marks[after] = [t.id for t in tokenize(after)]
                 ids += marks[after]
             store[w] = array(kind, ids).tobytes()
+        if before:
+            rest = self.learn_joined(store, rest)
         for i in range(0, len(rest), 1000):
             part = rest[i : i + 1000]
             for w, ids in zip(part, encoded(self.path, [before + w for w in part])):
                 store[w] = array(kind, ids).tobytes()
         return store, old
 
+    def learn_joined(self, store: dict[str, bytes], words: list[str]) -> list[str]:
+        """Encode words after a blank many at a time, as one text that is cut again where an id begins with a blank; returns
+        those left out: what has blanks of its own or other ones at its ends, and texts whose cuts are not one for each word."""
+        begins, left, whole = begin_with_blank(self.path), [], []
+        for w in words:
+            (left if not w or " " in w or w[0].isspace() or w[-1].isspace() else whole).append(w)
+        size = np.dtype(self.kind).itemsize
+        parts = [whole[i : i + JOINED] for i in range(0, len(whole), JOINED)]
+        for part in parts:
+            (got,) = encoded(self.path, [" " + " ".join(part)])
+            ids = np.array(got, self.kind)
+            cuts = np.flatnonzero(begins[ids])
+            if len(cuts) != len(part) or cuts[0]:
+                left += part
+                continue
+            data, ends = ids.tobytes(), [*(cuts * size).tolist(), len(ids) * size]
+            store.update((w, data[a:b]) for w, a, b in zip(part, ends, ends[1:]))
+        return left
+
     @staticmethod
     def flat(lists: pa.ListArray) -> tuple[pa.Array, np.ndarray, pa.DictionaryArray]:
         """All words in a row, where each text's begin and end, and the different words."""
@@ -114,8 +147,8 @@ class Words:
             pieces = pa.array([BETWEEN.split(texts[i].as_py()) for i in uneven.tolist()], pa.list_(pa.string()))
             lists = pa.concat_arrays([lists.take(pa.array(even)), pieces])
         words, ends, coded = self.flat(lists)
-        known = coded.dictionary.to_pylist()
-        heads = words.take(pa.array(ends[:-1])).to_pylist()
+        known = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        heads = words.take(pa.array(ends[:-1])).to_numpy(zero_copy_only=False).tolist()
         self.first = self.learn(self.first, set(heads), "")
         self.next = self.learn(self.next, set(known), " ")
         parts = [*map(self.next[0].__getitem__, known), *map(self.first[0].__getitem__, heads)]
