@@ -164,3 +164,11 @@ def test_every_document_trains(spark):
     docs = spark.range(400).select(F.col("id").alias("doc_id"), text.alias("text"), (F.col("id") == 0).alias("held_out")).repartition(2)
     (unseen,) = L.lm_scores(docs, shard=3000).where("held_out").collect()
     assert unseen["score"] > unseen["base_score"] + 10
+
+
+def test_words_of_a_batch_are_those_of_each_text():
+    docs = [None, "", " ", "a", " A  b\t\x0b\x0cb\r\n", "\x1cx\x1f \x85y\xa0z", "Ärger ÄRGER a", "\n\na"]
+    different, which, starts = L.words_of(L.pa.RecordBatch.from_pydict({"text": L.pa.array(docs, L.pa.string())}))
+    names = different.to_pylist()
+    got = [[names[i].decode() or None for i in own] for own in np.split(which, starts[1:])]
+    assert got == [tokens(t) for t in docs]
