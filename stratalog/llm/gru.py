@@ -9,6 +9,7 @@ at the window's first step: truncated backpropagation) and in scoring.
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -18,6 +19,12 @@ HIDDEN, CLASSES, STEPS, LANES = 16, 32, 16, 192
 RATE = 0.3
 #: Words that are dealt to lanes at a time, and windows that are laid out at a time.
 DEALT, WINDOWS = 1_000_000, 64
+#: Documents that are scored side by side, and words whose probabilities are taken at a time: about what a core's own cache holds.
+BESIDE, STRETCH = 768, 8192
+#: Logits up to this size, and sums of their exp, fit 32-bit floats without a shift.
+SAFE = 60.0
+#: Places of one word in a window that are added up place by place for all words.
+FEW = 5
 
 
 @dataclass
@@ -85,36 +92,61 @@ def step(p: dict, ids: np.ndarray, h: np.ndarray):
     return out.T, (h, a[: 2 * n].T, rh.T, a[2 * n :].T)
 
 
-def beside(x: np.ndarray) -> np.ndarray:
-    """The columns of all steps in one row."""
-    return x.transpose(1, 0, 2).reshape(x.shape[1], -1)
-
-
-def log_softmax_at(x: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """log probability of row at in each column; x is overwritten."""
-    x -= x.max(0)
-    found = x[at, np.arange(x.shape[1])]
-    np.exp(x, out=x)
-    return found - np.log(x.sum(0))
-
-
-def slope(x: np.ndarray, at: np.ndarray, scale: np.float32) -> np.ndarray:
-    """The gradient of -log softmax at row at of each column, scaled; x is overwritten."""
-    x -= x.max(0)
-    np.exp(x, out=x)
-    x *= scale / x.sum(0)
-    x[at, np.arange(x.shape[1])] -= scale
-    return x
+def with_bias(w: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Weights with their biases as those of one more state that is always 1. Rows have a few columns more than that, as rows
+    that lie a power of two apart would share few lines of the cache."""
+    out = np.zeros((len(w) + 1, w.shape[1] + 8), w.dtype)
+    out[:-1, : w.shape[1]], out[-1, : w.shape[1]] = w, b
+    return out
 
 
-def by_class(shape: Shape, words: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(first word, end, rows) of each class of more than one word that words belong to."""
-    number = shape.word_class[words]
-    order = np.argsort(number, kind="stable")
-    ends = np.searchsorted(number[order], np.arange(1, len(shape.starts) + 1))
-    for i in range(len(shape.starts) - 1):
-        if ends[i + 1] > ends[i] and shape.starts[i + 1] - shape.starts[i] > 1:
-            yield int(shape.starts[i]), int(shape.starts[i + 1]), order[ends[i] : ends[i + 1]]
+def is_small(block: np.ndarray) -> bool:
+    """Whether exp needs no shift for any logit that with_bias() gives for states between -1 and 1."""
+    return float(np.abs(block).sum(0).max()) < SAFE
+
+
+def within(shape: Shape, words: np.ndarray, number: np.ndarray) -> tuple[list[tuple[int, int, int, int]], np.ndarray, np.ndarray]:
+    """Of words in order of their class (number): first word and end, begin and end among words, for each class of more than one
+    word; which words those have; and where their own logits stand when the classes' logits follow one another."""
+    ends = np.searchsorted(number, np.arange(1, len(shape.starts) + 1))
+    width, size = np.diff(ends), np.diff(shape.starts)
+    used = (width > 0) & (size > 1)
+    begin = np.cumsum(width * size * used) - width * size * used
+    rows = np.arange(ends[0], len(words))
+    if (size == 1).any():
+        rows = rows[used[number[rows] - 1]]
+    kind = number[rows] - 1
+    own = (begin - shape.starts[:-1] * width - width - ends[:-1])[kind] + words[rows] * width[kind] + rows
+    classes = zip(shape.starts[:-1][used].tolist(), shape.starts[1:][used].tolist(), ends[:-1][used].tolist(), ends[1:][used].tolist())
+    return list(classes), rows, own
+
+
+class Room:
+    """Arrays that are used again and again: memory that is asked for anew is filled with zeros by the machine each time."""
+
+    def __init__(self, kind: np.dtype) -> None:
+        self.kind, self.held = kind, {}
+
+    def __call__(self, name: str, *shape: int) -> np.ndarray:
+        """An array of this shape with any content; it lasts until the name is asked for again."""
+        size = math.prod(shape)
+        if name not in self.held or self.held[name].size < size:
+            self.held[name] = np.empty(size, self.kind)
+        return self.held[name][:size].reshape(shape)
+
+
+def logits_within(block: np.ndarray, states: np.ndarray, classes: list[tuple[int, int, int, int]], small: bool, room: Room) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The logits of each class's words, one class after another in one row, and as one array for each class."""
+    flat = room("logits", sum((stop - first) * (e - s) for first, stop, s, e in classes))
+    at, parts = 0, []
+    for first, stop, s, e in classes:
+        g = flat[at : at + (stop - first) * (e - s)].reshape(stop - first, e - s)
+        np.matmul(block[:, first:stop].T, states[:, s:e], out=g)
+        if not small:
+            g -= np.maximum.reduce(g, 0)
+        parts.append(g)
+        at += g.size
+    return flat, parts
 
 
 def log_probs(p: dict, shape: Shape, h: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -122,56 +154,81 @@ def log_probs(p: dict, shape: Shape, h: np.ndarray, words: np.ndarray) -> np.nda
     return log_probs_at(p, shape, h.T, words)
 
 
-def log_probs_at(p: dict, shape: Shape, h: np.ndarray, words: np.ndarray, most: int = 8192) -> np.ndarray:
-    """log_probs() of states that are columns, a stretch of columns at a time."""
-    out = np.empty(len(words), h.dtype)
-    wc, wo, bc, bo = np.ascontiguousarray(p["wc"].T), np.ascontiguousarray(p["wo"].T), p["bc"][:, None], p["bo"][:, None]
-    for at in range(0, len(words), most):
-        own, w = h[:, at : at + most], words[at : at + most]
-        x = wc @ own
-        x += bc
-        got = log_softmax_at(x, shape.word_class[w])
-        for a, b, rows in by_class(shape, w):
-            x = wo[a:b] @ own.take(rows, 1)
-            x += bo[a:b]
-            got[rows] += log_softmax_at(x, w[rows] - 1 - a)
-        out[at : at + most] = got
+def log_probs_at(p: dict, shape: Shape, h: np.ndarray, words: np.ndarray, blocks: tuple | None = None, room: Room | None = None) -> np.ndarray:
+    """log_probs() of states that are columns, a stretch of columns at a time. blocks: output_blocks(p), if at hand."""
+    out, room = np.empty(len(words), h.dtype), room or Room(h.dtype)
+    (wc, small), (wo, small_within) = blocks or output_blocks(p)
+    c = len(shape.starts)
+    for at in range(0, len(words), STRETCH):
+        w = words[at : at + STRETCH]
+        number = shape.word_class[w]
+        order = np.argsort(number.astype(np.uint16), kind="stable")
+        w, number = w[order], number[order]
+        own = room("own", len(h) + 1, len(w))
+        np.take(h[:, at : at + STRETCH], order, 1, out=own[:-1], mode="clip")
+        own[-1] = 1
+        x = np.matmul(wc[:, :c].T, own, out=room("x", c, len(w)))
+        if not small:
+            x -= x.max(0)
+        got = x[number, np.arange(len(w))]
+        np.exp(x, out=x)
+        got -= np.log(x.sum(0))
+        classes, rows, places = within(shape, w, number)
+        flat, parts = logits_within(wo, own, classes, small_within, room)
+        found, total = flat[places], np.ones(len(w), h.dtype)
+        np.exp(flat, out=flat)
+        for (_, _, s, e), g in zip(classes, parts):
+            np.add.reduce(g, 0, out=total[s:e])
+        got[rows] += found - np.log(total[rows])
+        out[at + order] = got
     return out
 
 
+def output_blocks(p: dict) -> tuple:
+    """The weights of the classes and of the words, each with whether their logits are small."""
+    return tuple((x, is_small(x)) for x in (with_bias(p["wc"], p["bc"]), with_bias(p["wo"], p["bo"])))
+
+
 def score(p: dict, shape: Shape, docs: list[np.ndarray], end: int, steps: int = 32) -> np.ndarray:
     """Natural log probability of each whole document; a document's words include its end."""
     out = np.zeros(len(docs))
     order = np.argsort([-len(d) for d in docs], kind="stable")
-    sizes = np.array([len(docs[i]) for i in order], np.int64)
-    if not len(docs) or not sizes[0]:
-        return out
-    flat = np.concatenate([docs[i] for i in order])
+    blocks, room = output_blocks(p), Room(p["x"].dtype)
+    for at in range(0, len(docs), BESIDE):
+        own = order[at : at + BESIDE]
+        out[own] = score_beside(p, shape, [docs[i] for i in own], end, steps, blocks, room)
+    return out
+
+
+def score_beside(p: dict, shape: Shape, docs: list[np.ndarray], end: int, steps: int, blocks: tuple, room: Room) -> np.ndarray:
+    """score() of documents that all go forward at once, longest first."""
+    sizes = np.array([len(d) for d in docs], np.int64)
+    totals = np.zeros(len(docs))
+    flat = np.concatenate(docs).astype(np.int64)
     starts = np.cumsum(sizes) - sizes
-    n = p["k"].shape[0]
-    xt, b, ut, kt = np.ascontiguousarray(p["x"].T), p["b"][:, None], np.ascontiguousarray(p["u"].T), np.ascontiguousarray(p["k"].T)
-    kind = xt.dtype
+    x, b, ut, kt = p["x"], p["b"][:, None], np.ascontiguousarray(p["u"].T), np.ascontiguousarray(p["k"].T)
+    n, kind = len(kt), x.dtype
     h = np.zeros((n, len(docs)), kind)
     last = np.full(len(docs), end, np.int64)
-    totals = np.zeros(len(docs))
-    for at in range(0, int(sizes[0]), steps):
-        # documents longer than at stand first
-        lives = np.searchsorted(-sizes, -np.arange(at, min(at + steps, int(sizes[0]))), "left").tolist()
+    at = 0
+    while at < sizes[0]:
+        # documents longer than at stand first; where few are left, more steps go together
+        wide = max(steps, STRETCH // int(np.searchsorted(-sizes, -at, "left")))
+        lives = np.searchsorted(-sizes, -np.arange(at, min(at + wide, int(sizes[0]))), "left").tolist()
         ends = np.cumsum([0, *lives]).tolist()
-        states, words = np.empty((n, ends[-1]), kind), np.empty(ends[-1], np.int64)
+        states, words = room("states", n, ends[-1]), np.empty(ends[-1], np.int64)
         for t, live in enumerate(lives):
-            a = xt.take(last[:live], 1)
-            a += b
+            a = np.add(x.take(last[:live], 0).T, b, order="C")
             now = states[:, ends[t] : ends[t + 1]]
             forward(a, h[:, :live], ut, kt, np.empty((n, live), kind), now)
-            h, last = now, flat[starts[:live] + (at + t)].astype(np.int64)
+            h, last = now, flat[starts[:live] + (at + t)]
             words[ends[t] : ends[t + 1]] = last
         h = h.copy()
-        got = log_probs_at(p, shape, states, words)
+        got = log_probs_at(p, shape, states, words, blocks, room)
         for t, live in enumerate(lives):
             totals[:live] += got[ends[t] : ends[t + 1]]
-    out[order] = totals
-    return out
+        at += wide
+    return totals
 
 
 class Trainer:
@@ -179,15 +236,19 @@ class Trainer:
 
     def __init__(self, p: dict, shape: Shape, end: int, rate: float = RATE) -> None:
         self.p = {k: v.copy() for k, v in p.items()}
+        self.wo = with_bias(p["wo"], p["bo"])
+        self.p["wo"], self.p["bo"] = self.wo[:-1, : p["wo"].shape[1]], self.wo[-1, : p["wo"].shape[1]]
         self.shape, self.end, self.rate = shape, end, rate
         self.sums = {k: np.full(v.shape, 1e-2, np.float32) for k, v in p.items()}
         self.words = 0
+        self.room = Room(p["x"].dtype)
 
     def update(self, key: str, g: np.ndarray, at=slice(None)) -> None:
-        g = np.minimum(np.maximum(g, -1), 1)
+        g = np.clip(g, -1, 1)
         sums = self.sums[key][at]
         sums += g * g
-        self.sums[key][at] = sums
+        if not isinstance(at, slice):
+            self.sums[key][at] = sums
         g *= self.rate
         g /= np.sqrt(sums)
         self.p[key][at] -= g
@@ -239,100 +300,127 @@ class Trainer:
 
     def window(self, x: np.ndarray, y: np.ndarray, h: np.ndarray, keep: np.ndarray | None = None) -> np.ndarray:
         """One update from x (inputs), y (words to foretell, -1: none) and the states before; keep is 0 where a document begins."""
-        p, shape, n, (steps, live) = self.p, self.shape, h.shape[1], x.shape
+        p, shape, n, room, (steps, live) = self.p, self.shape, h.shape[1], self.room, x.shape
         kind = p["x"].dtype
         ids = x.reshape(-1)
         # a step's columns stand together; rows that lie a power of two apart would share few lines of the cache
-        a = np.empty((steps, 3 * n, live), kind)
-        np.add(p["x"].take(ids, 0).reshape(steps, live, 3 * n).transpose(0, 2, 1), p["b"][:, None], out=a)
-        kept, states, gated = (np.empty((steps, n, live), kind) for _ in range(3))
+        a = room("a", steps, 3 * n, live)
+        inputs = np.take(p["x"], ids, 0, out=room("wide", ids.size, 3 * n), mode="clip")
+        np.add(inputs.reshape(steps, live, 3 * n).transpose(0, 2, 1), p["b"][:, None], out=a)
+        kept, states, gated = (room(name, steps, n, live) for name in ("kept", "states", "gated"))
         u, k = p["u"], p["k"]
         ut, kt = np.ascontiguousarray(u.T), np.ascontiguousarray(k.T)
         now = h.T
+        # few lanes begin a document in a step
+        step, lane = np.nonzero(keep == 0) if keep is not None else (np.zeros(0, np.int64),) * 2
+        begun = np.searchsorted(step, np.arange(steps + 1)).tolist()
+        begun = [lane[i:j] for i, j in zip(begun, begun[1:])]
         for t in range(steps):
-            if keep is None:
-                kept[t] = now
-            else:
-                np.multiply(now, keep[t], out=kept[t])
+            kept[t] = now
+            if len(begun[t]):
+                kept[t][:, begun[t]] = 0
             now = states[t]
             forward(a[t], kept[t], ut, kt, gated[t], now)
         words = y.reshape(-1)
         rows = np.flatnonzero(words >= 0)
         # by class, so that each class is a slice
         rows = rows[np.argsort(shape.word_class[words[rows]].astype(np.uint16), kind="stable")]
-        flat, words = beside(states).take(rows, 1), words[rows]
-        self.words += len(rows)
+        own, words, m = room("own", n + 1, len(rows)), words[rows], len(rows)
+        np.take(self.beside("flat", states), rows, 1, out=own[:-1], mode="clip")
+        own[-1] = 1
+        self.words += m
         number = shape.word_class[words]
         words_of_a_window = STEPS * LANES  # so that a few last long documents move the weights little
         scale = kind.type(1 / np.sqrt(words_of_a_window))
-        g = p["wc"].T @ flat
-        g += p["bc"][:, None]
-        g = slope(g, number, scale)
-        dh = p["wc"] @ g
-        dwc, dbc = flat @ g.T, g.sum(1)
-        # the biases are the weights of one more state that is always 1
-        wot = np.concatenate([p["wo"], p["bo"][None]]).T.copy()
-        ones = np.concatenate([flat, np.ones((1, len(rows)), kind)])
-        dwo = np.zeros_like(wot)
-        ends = np.searchsorted(number, np.arange(1, len(shape.starts) + 1)).tolist()
-        starts = shape.starts.tolist()
-        some = [c for c in zip(starts, starts[1:], ends, ends[1:]) if c[3] > c[2] and c[1] - c[0] > 1]
-        sizes = [(stop - first) * (e - s) for first, stop, s, e in some]
-        # the classes' logits stand one after another, so that what is alike for all is done at once
-        logits = np.empty(sum(sizes), kind)
-        at, of_class, target = 0, [], []
-        for (first, stop, s, e), size in zip(some, sizes):
-            g = logits[at : at + size].reshape(stop - first, e - s)
-            np.matmul(wot[first:stop], ones[:, s:e], out=g)
-            g -= np.maximum.reduce(g, 0)
-            of_class.append(g)
-            target.append((words[s:e] - (1 + first)) * (e - s) + np.arange(at, at + e - s))
-            at += size
+        wc, c = with_bias(p["wc"], p["bc"]), len(shape.starts)
+        g = np.matmul(wc[:, :c].T, own, out=room("g", c, m))
+        if not is_small(wc):
+            g -= g.max(0)
+        np.exp(g, out=g)
+        g *= scale / g.sum(0)
+        g[number, np.arange(m)] -= scale
+        # one column more, for words that are not there
+        dh = room("dh", n, m + 1)
+        np.matmul(p["wc"], g, out=dh[:, :m])
+        dh[:, m] = 0
+        dwc = own @ g.T
+        classes, _, places = within(shape, words, number)
+        logits, parts = logits_within(self.wo, own, classes, is_small(self.wo), room)
         np.exp(logits, out=logits)
-        for (_, _, s, e), g in zip(some, of_class):
-            g *= scale / np.add.reduce(g, 0)
-        if some:
-            logits[np.concatenate(target)] -= scale
-        for (first, stop, s, e), g in zip(some, of_class):
-            own = ones[:, s:e]
-            dh[:, s:e] += p["wo"][:, first:stop] @ g
-            np.matmul(g, own.T, out=dwo[first:stop])
-        all_ = np.zeros((n, ids.size), kind)
-        all_[:, rows] = dh
-        all_ = all_.reshape(n, steps, live).transpose(1, 0, 2).copy()
+        total = np.ones(m, kind)
+        for (_, _, s, e), g in zip(classes, parts):
+            np.add.reduce(g, 0, out=total[s:e])
+        np.divide(scale, total, out=total)
+        for (_, _, s, e), g in zip(classes, parts):
+            g *= total[s:e]
+        logits[places] -= scale
+        dwo, more = room("dwo", *self.wo.shape), room("more", n, m)
+        dwo[:] = 0
+        more[:] = 0
+        for (first, stop, s, e), g in zip(classes, parts):
+            np.matmul(p["wo"][:, first:stop], g, out=more[:, s:e])
+            np.matmul(own[:, s:e], g.T, out=dwo[:, first:stop])
+        dh[:, :m] += more
+        place = np.full(ids.size, m)
+        place[rows] = np.arange(m)
+        flat = np.take(dh, place, 1, out=room("flat", n, ids.size), mode="clip")
+        all_ = room("all", steps, n, live)
+        all_[:] = flat.reshape(n, steps, live).transpose(1, 0, 2)
         # what a step's gradient is multiplied with, for all steps at once
         z, r, c = a[:, :n], a[:, n : 2 * n], a[:, 2 * n :]
-        old = 1 - z
-        to_c = c * c
+        old, to_c, to_z, to_r = (room(name, steps, n, live) for name in ("old", "to_c", "to_z", "to_r"))
+        np.subtract(1, z, out=old)
+        np.multiply(c, c, out=to_c)
         np.subtract(1, to_c, out=to_c)
         to_c *= z
-        to_z = c - kept
+        np.subtract(c, kept, out=to_z)
         to_z *= z
         to_z *= old
-        to_r = 1 - r
+        np.subtract(1, r, out=to_r)
         to_r *= r
         to_r *= kept
-        da = np.empty((steps, 3 * n, live), kind)
+        da = room("da", steps, 3 * n, live)
         back = np.zeros((n, live), kind)
         for t in reversed(range(steps)):
-            d, own = all_[t], da[t]
+            d, part = all_[t], da[t]
             d += back
-            np.multiply(d, to_c[t], out=own[2 * n :])
-            drh = k @ own[2 * n :]
-            np.multiply(d, to_z[t], out=own[:n])
-            np.multiply(drh, to_r[t], out=own[n : 2 * n])
+            np.multiply(d, to_c[t], out=part[2 * n :])
+            drh = k @ part[2 * n :]
+            np.multiply(d, to_z[t], out=part[:n])
+            np.multiply(drh, to_r[t], out=part[n : 2 * n])
             np.multiply(d, old[t], out=back)
             drh *= r[t]
             back += drh
-            back += u @ own[: 2 * n]
-            if keep is not None:
-                back *= keep[t]
-        da = da.transpose(0, 2, 1).reshape(-1, 3 * n)
-        du, dk = beside(kept) @ da[:, : 2 * n], beside(gated) @ da[:, 2 * n :]
+            back += u @ part[: 2 * n]
+            if len(begun[t]):
+                back[:, begun[t]] = 0
+        wide = room("wide", steps, live, 3 * n)
+        wide[:] = da.transpose(0, 2, 1)
+        da = wide.reshape(-1, 3 * n)
+        du = self.beside("flat", kept) @ da[:, : 2 * n]
+        dk = self.beside("flat", gated) @ da[:, 2 * n :]
         order = np.argsort(ids.astype(np.uint16) if len(p["x"]) <= 1 << 16 else ids, kind="stable")
-        first = np.flatnonzero(np.diff(ids[order], prepend=-1))
-        dx = np.add.reduceat(da.take(order, 0), first, axis=0)
-        for key, g in (("wc", dwc), ("bc", dbc), ("wo", dwo[:, :n].T), ("bo", dwo[:, n]), ("u", du), ("k", dk), ("b", dx.sum(0))):
+        times = np.bincount(ids, minlength=1)
+        used = np.flatnonzero(times)
+        n_used = times[used]
+        first = np.cumsum(n_used) - n_used
+        sorted_ = np.take(da, order, 0, out=room("sorted", ids.size, 3 * n), mode="clip")
+        dx = sorted_.take(first, 0)
+        # most words are there a few times; frequent ones, with word 0 half of all, are summed one by one
+        often = np.flatnonzero(n_used > FEW)
+        for i in range(1, FEW):
+            again = np.flatnonzero((n_used > i) & (n_used <= FEW))
+            dx[again] += sorted_.take(first[again] + i, 0)
+        for i, at, size in zip(often.tolist(), first[often].tolist(), n_used[often].tolist()):
+            np.add.reduce(sorted_[at : at + size], 0, out=dx[i])
+        v = p["wo"].shape[1]
+        for key, g in (("wc", dwc[:-1]), ("bc", dwc[-1]), ("wo", dwo[:-1, :v]), ("bo", dwo[-1, :v]), ("u", du), ("k", dk), ("b", dx.sum(0))):
             self.update(key, g)
-        self.update("x", dx, ids[order][first])
-        return states[-1].T
+        self.update("x", dx, used)
+        return states[-1].T.copy()
+
+    def beside(self, name: str, x: np.ndarray) -> np.ndarray:
+        """The columns of all steps in one row."""
+        out = self.room(name, x.shape[1], x.shape[0], x.shape[2])
+        out[:] = x.transpose(1, 0, 2)
+        return out.reshape(x.shape[1], -1)

@@ -39,7 +39,7 @@ VOCABULARY, FREQUENT = 2048, 131_072
 #: Words of a shard, about, and rounds of training over different shards.
 SHARD, ROUNDS = 2_000_000, 3
 #: Words that a task counts before it hands the counts on, and words it scores at a time.
-COUNTED, SCORED = 400_000, 1_500_000
+COUNTED, SCORED = 400_000, 6_000_000
 END = b""
 SMOOTH = 0.1
 
@@ -96,8 +96,7 @@ class Lexicon:
 
     def __init__(self, words: list[bytes], counts: list[int], total: int, distinct: int, v: int) -> None:
         self.words, self.total, self.distinct, self.v = words, total, distinct, min(v, len(words))
-        self.counts = np.array(counts, np.float64)
-        self.number = {w: i for i, w in enumerate(words)}
+        self.told, self.counts = pa.array(words, pa.binary()), np.array(counts, np.float64)
         self.outside = max(0.0, total - float(self.counts[: self.v].sum()))
         self.shape = gru.Shape.of(self.counts[: self.v])
         self.base = self.log10(self.counts)
@@ -107,10 +106,9 @@ class Lexicon:
     def log10(self, c: np.ndarray) -> np.ndarray:
         return np.log10((c + SMOOTH) / (self.total + SMOOTH * (self.distinct + 1)))
 
-    def find(self, words: list[bytes]) -> np.ndarray:
+    def find(self, words: pa.Array) -> np.ndarray:
         """The number of each word, -1 for those not told."""
-        get = self.number.get
-        return np.fromiter((get(w, -1) for w in words), np.int32, len(words))
+        return pc.fill_null(pc.index_in(words, value_set=self.told), -1).to_numpy(zero_copy_only=False)
 
     def model(self, found: np.ndarray) -> np.ndarray:
         return np.where((found >= 0) & (found < self.v), found + 1, 0)
@@ -150,7 +148,7 @@ def mapped(docs: DataFrame, lex: Lexicon) -> DataFrame:
                 continue
             different, which, starts = words_of(batch)
             ends = np.append(starts[1:], len(which))
-            found = words.find(different.to_numpy(zero_copy_only=False).tolist())[which]
+            found = words.find(different)[which]
             told, outside = found >= 0, (found < 0) | (found >= words.v)
             base = np.where(told, words.base[np.maximum(found, 0)], 0.0) if len(words.base) else np.zeros(len(found))
             # words outside the vocabulary: their share of that class; what is not told is added after the join

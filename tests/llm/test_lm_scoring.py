@@ -172,3 +172,54 @@ def test_words_of_a_batch_are_those_of_each_text():
     names = different.to_pylist()
     got = [[names[i].decode() or None for i in own] for own in np.split(which, starts[1:])]
     assert got == [tokens(t) for t in docs]
+
+
+def test_probabilities_are_those_of_plain_sums(monkeypatch):
+    # a class of one word, documents in blocks, and logits too large for exp without a shift
+    counts = np.array([100.0, 3, 2, 2, 1])
+    shape = gru.Shape.of(counts, 3)
+    assert 1 in np.diff(shape.starts)
+    rng = np.random.default_rng(5)
+    docs = [rng.integers(0, 6, n) for n in (0, 3, 1, 40, 9, 9)]
+    monkeypatch.setattr(gru, "BESIDE", 2)
+    monkeypatch.setattr(gru, "STRETCH", 16)
+    for scale in (1, 200):
+        p = gru.initial(counts, 3.0, shape, 4)
+        p["wc"], p["wo"] = (rng.normal(0, scale, p[k].shape).astype(np.float32) for k in ("wc", "wo"))
+        got = gru.score(p, shape, docs, 1, steps=4)
+        for d, found in zip(docs, got):
+            h, last, total = np.zeros((1, 4)), 1, 0.0
+            for w in d:
+                h = gru.step(p, np.array([last]), h.astype(np.float32))[0]
+                x = h.astype(float) @ p["wc"] + p["bc"]
+                kind = shape.word_class[w]
+                total += x[0, kind] - np.logaddexp.reduce(x[0])
+                if w:
+                    s, e = shape.starts[kind - 1], shape.starts[kind]
+                    x = h.astype(float) @ p["wo"][:, s:e] + p["bo"][s:e]
+                    total += x[0, w - 1 - s] - np.logaddexp.reduce(x[0])
+                last = w
+            assert found == pytest.approx(total, rel=1e-4, abs=1e-3)
+
+
+def test_training_is_the_same_with_and_without_the_shift(monkeypatch):
+    counts = np.array([9.0, 5, 4, 2, 2, 1])
+    shape = gru.Shape.of(counts, 3)
+    docs = [np.random.default_rng(n).integers(0, 7, n) for n in (5, 33, 70, 64, 200)]
+    got = []
+    for safe in (60.0, 0.0):
+        monkeypatch.setattr(gru, "SAFE", safe)
+        trainer = gru.Trainer(gru.initial(counts, 3.0, shape, 4), shape, 1)
+        trainer.train(docs, 3, 8)
+        got.append(trainer.p)
+    assert all(got[0][k] == pytest.approx(got[1][k], abs=1e-3) for k in got[0])
+
+
+def test_few_long_documents_take_many_steps_at_a_time(monkeypatch):
+    counts = np.array([9.0, 5, 4, 2, 2, 1])
+    shape = gru.Shape.of(counts, 3)
+    calls, take = [], gru.log_probs_at
+    monkeypatch.setattr(gru, "log_probs_at", lambda *a: (calls.append(len(a[3])), take(*a))[1])
+    docs = [np.random.default_rng(n).integers(0, 7, n) for n in (5000, 4000, 10)]
+    gru.score(gru.initial(counts, 3.0, shape, 4), shape, docs, 1)
+    assert sum(calls) == 9010 and len(calls) < 5
