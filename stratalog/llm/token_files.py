@@ -35,6 +35,8 @@ from .tokens import Words, tokenizer, vocabulary_path
 VOCABULARY = "byte_bpe_50k.json"
 END = 0
 MAX_BITS, BLOCK, INTERVAL = 16, 1 << 18, 256
+#: Bits of a code word's length.
+LENGTH_BITS = 5
 MAGIC = b"HTF1"
 HEAD = struct.Struct("<4sQQQ")  # magic, documents, ids, bits
 
@@ -93,10 +95,9 @@ class Code:
         starts = np.concatenate([[0], np.cumsum(spans)])
         self.words = np.zeros(len(self.lengths), np.uint64)
         self.words[order] = starts[:-1] >> (self.bits - self.lengths[order].astype(np.int64))
-        self.ids = np.zeros(1 << self.bits, np.uint32)
-        self.skip = np.ones(1 << self.bits, np.uint8)
-        self.ids[: starts[-1]] = np.repeat(order, spans)
-        self.skip[: starts[-1]] = np.repeat(self.lengths[order], spans)
+        # the id and the length of the code word that the next bits begin with, in one number
+        self.table = np.ones(1 << self.bits, np.uint32)
+        self.table[: starts[-1]] = np.repeat(order << LENGTH_BITS | self.lengths[order], spans)
 
     def pack(self, ids: np.ndarray) -> tuple[bytes, np.ndarray, int]:
         """The bits of ids, the checkpoints and the number of bits."""
@@ -120,15 +121,16 @@ class Code:
         b = np.frombuffer(data + b"\0\0\0\0", np.uint8).astype(np.uint32)
         wide = b[:-3] << 24 | b[1:-2] << 16 | b[2:-1] << 8 | b[3:]
         at = checkpoints.astype(np.int64)
-        out = np.zeros((len(at), INTERVAL), np.uint32)
+        out = np.zeros((INTERVAL, len(at)), np.uint32)
         last = n - (len(at) - 1) * INTERVAL
         for step in range(min(INTERVAL, n)):
             if step == last:
                 at = at[:-1]
             window = (wide[at >> 3] << (at & 7).astype(np.uint32)) >> np.uint32(32 - self.bits)
-            out[: len(at), step] = self.ids[window]
-            at = at + self.skip[window]
-        return out.reshape(-1)[:n]
+            found = self.table[window]
+            out[step, : len(at)] = found
+            at = at + (found & ((1 << LENGTH_BITS) - 1))
+        return (out >> LENGTH_BITS).T.reshape(-1)[:n]
 
 
 def write_block(code: Code, doc_ids: list, docs: list[np.ndarray]) -> bytes:

@@ -19,8 +19,8 @@ import pyarrow.compute as pc
 
 #: Pieces of a generation that a worker keeps; two generations are about 120 MB.
 KEPT = 300_000
-#: Marks that may follow a plain word.
-MARKS = ".,!?;:"
+#: Marks that may follow a plain word: none that begins a contraction or stands in special tokens.
+MARKS = ".,!?;:\"#$%&()*+-/=@[\\]^_`{}~"
 #: A blank that is not alone between two words (a pattern of Arrow), and one that is.
 UNEVEN = r"[\s\x0b\x1c-\x1f\x85\p{Z}] | [\s\x0b\x1c-\x1f\x85\p{Z}]|^ | $"
 BETWEEN = re.compile(r"(?<=\S) (?=\S)")
@@ -80,33 +80,40 @@ class Words:
         self.first: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
         self.next: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
 
-    def learn(self, stores: tuple[dict[str, bytes], dict[str, bytes]], words: set[str], before: str) -> tuple[dict[str, bytes], dict[str, bytes]]:
-        """The stores with all words in the first one. A full one becomes the generation before."""
+    def learn(self, stores: tuple[dict[str, bytes], dict[str, bytes]], words: list[str], before: str) -> tuple[tuple[dict[str, bytes], dict[str, bytes]], list[bytes]]:
+        """The stores with all words (different ones) in the first one, and the ids of each word. A full store becomes the
+        generation before."""
         store, old = stores if len(stores[0]) <= KEPT else ({}, stores[0])
         tokenize, kind, rest, marks = tokenizer(self.path).model.tokenize, self.kind, [], {}
         ahead = LETTERS[32] if before else ""
-        new = words - store.keys()
-        known = new & old.keys()
-        store.update((w, old[w]) for w in known)
-        for w in new - known:
-            core = w if w.isalpha() else w.rstrip(MARKS)
-            if not core.isalpha() or not (w.isascii() or max(core) <= "\xff"):
-                rest.append(w)
+        out, seen = list(map(store.get, words)), old.get
+        for i, found in enumerate(out):
+            if found is not None:
                 continue
-            ids = [t.id for t in tokenize(ahead + (core if core.isascii() else "".join([LETTERS[b] for b in core.encode()])))]
-            if len(core) < len(w):
-                after = w[len(core) :]
-                if after not in marks:
-                    marks[after] = [t.id for t in tokenize(after)]
-                ids += marks[after]
-            store[w] = array(kind, ids).tobytes()
+            w = words[i]
+            if (found := seen(w)) is None:
+                core = w if w.isalpha() else w.rstrip(MARKS)
+                if not core.isalpha() or not (w.isascii() or max(core) <= "\xff"):
+                    rest.append(i)
+                    continue
+                ids = [t.id for t in tokenize(ahead + (core if core.isascii() else "".join([LETTERS[b] for b in core.encode()])))]
+                if len(core) < len(w):
+                    after = w[len(core) :]
+                    if after not in marks:
+                        marks[after] = [t.id for t in tokenize(after)]
+                    ids += marks[after]
+                found = array(kind, ids).tobytes()
+            store[w] = out[i] = found
+        left = [words[i] for i in rest]
         if before:
-            rest = self.learn_joined(store, rest)
-        for i in range(0, len(rest), 1000):
-            part = rest[i : i + 1000]
+            left = self.learn_joined(store, left)
+        for i in range(0, len(left), 1000):
+            part = left[i : i + 1000]
             for w, ids in zip(part, encoded(self.path, [before + w for w in part])):
                 store[w] = array(kind, ids).tobytes()
-        return store, old
+        for i in rest:
+            out[i] = store[words[i]]
+        return (store, old), out
 
     def learn_joined(self, store: dict[str, bytes], words: list[str]) -> list[str]:
         """Encode words after a blank many at a time, as one text that is cut again where an id begins with a blank; returns
@@ -149,12 +156,14 @@ class Words:
         words, ends, coded = self.flat(lists)
         known = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         heads = words.take(pa.array(ends[:-1])).to_numpy(zero_copy_only=False).tolist()
-        self.first = self.learn(self.first, set(heads), "")
-        self.next = self.learn(self.next, set(known), " ")
-        parts = [*map(self.next[0].__getitem__, known), *map(self.first[0].__getitem__, heads)]
-        data = np.frombuffer(b"".join(parts), kind)
-        size = np.fromiter(map(len, parts), np.int64, len(parts)) // kind.itemsize
-        start = np.cumsum(size) - size
+        different = list(dict.fromkeys(heads))
+        self.first, ids_first = self.learn(self.first, different, "")
+        self.next, ids_next = self.learn(self.next, known, " ")
+        parts = pa.array([*ids_next, *map(dict(zip(different, ids_first)).__getitem__, heads)], pa.binary())
+        _, offsets, values = parts.buffers()
+        bounds = np.frombuffer(offsets, np.int32, len(parts) + 1).astype(np.int64) // kind.itemsize
+        data = np.frombuffer(values, kind, int(bounds[-1])) if len(parts) else np.zeros(0, kind)
+        size, start = np.diff(bounds), bounds[:-1]
         which = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         which[ends[:-1]] = len(known) + np.arange(len(heads))
         size, start = size[which], start[which]
