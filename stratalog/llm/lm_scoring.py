@@ -223,11 +223,12 @@ def scored(rows: DataFrame, lex: Lexicon, weights: dict[str, np.ndarray]) -> Dat
 
         for batch in it:
             names += batch.column("row").to_pylist()
-            ids += [np.frombuffer(x, "<i2") for x in batch.column("ids").to_pylist()]
-            size = sum(map(len, ids))
+            own = [np.frombuffer(x, "<i2") for x in batch.column("ids").to_pylist()]
+            ids += own
+            size += sum(map(len, own))
             if size >= SCORED:
                 yield flush()
-                names, ids = [], []
+                names, ids, size = [], [], 0
         if names:
             yield flush()
 
